@@ -106,6 +106,12 @@ def _unix_us(v: Column, unit: Column) -> Column:
     return F.when(unit == "unix_s", v * 1_000_000).when(unit == "unix_ms", v * 1000).when(unit == "unix_us", v).otherwise(F.floor(v / F.lit(1000).cast("decimal(4,0)")).cast("bigint"))
 
 
+def unix_instant_us(c: Column) -> Column:
+    """Instant in microseconds of an integer Unix time of whatever unit; null for null and for sentinels."""
+    v = F.when(~c.isin(*SENTINELS), c.cast("bigint"))
+    return _unix_us(v, _unit(v))
+
+
 def _reading(fmt: Column, us: Column, basis: Column) -> Column:
     return F.struct(fmt.alias("fmt"), us.cast("bigint").alias("us"), basis.alias("basis"))
 

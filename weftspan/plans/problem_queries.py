@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.operators.timestamps import normalise_timestamps
-from weftspan.runtime import table
+from weftspan.operators.heavy_keys import heavy_keys, key_stats
+from weftspan.operators.references import clean_key, find_orphans
+from weftspan.operators.timestamps import normalise_timestamps, unix_instant_us
+from weftspan.runtime import epoch_us, table
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
@@ -45,4 +47,68 @@ def p1_node_units(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy(F.col("ts_layout").alias("unit"), day.alias("utc_day")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("ts_instant_us").cast("decimal(38,0)").cast("string").alias("sum_us"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units}
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    nodes, pv = table(spark, base, "nodes"), table(spark, base, "pv_events")
+    keys = nodes.select(clean_key(F.col("event_id")).alias("k"), epoch_us(nodes, "ingested_at").alias("at"))
+    refs = nodes.select(F.lit("nodes").alias("ref_table"), F.col("id").alias("ref_id"), clean_key(F.col("parent_event_id")).alias("k"), epoch_us(nodes, "ingested_at").alias("at")).unionAll(
+        pv.select(F.lit("pv_events").alias("ref_table"), F.col("pv_id").alias("ref_id"), clean_key(F.col("event_id")).alias("k"), epoch_us(pv, "ingested_at").alias("at"))
+    )
+    deletions = table(spark, base, "node_deletions").select(clean_key(F.col("event_id")).alias("k"))
+    return find_orphans(keys, refs, deletions)
+
+
+def p2_report(spark: SparkSession, base: str) -> DataFrame:
+    """Orphans per table, kind and day of ingestion."""
+    return p2_found(spark, base).groupBy("ref_table", "orphan_kind", "period_day").agg(F.count(F.lit(1)).alias("n_references"))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return heavy_keys(table(spark, base, "nodes").select("job_name", "job_id"), ["job_name", "job_id"], 0.025).select("key_field", "heavy_key")
+
+
+def _p3_stats(spark: SparkSession, base: str, key: str) -> DataFrame:
+    nodes = table(spark, base, "nodes")
+    out = key_stats(nodes, key, clean_key(F.col("event_id")), unix_instant_us(F.col("start_timestamp")), "id")
+    return out.select(F.col("key").alias(key), F.col("n_rows").alias("n_spans"), F.col("n_values").alias("n_events"), F.col("first_time").alias("first_start_us"), F.col("last_time").alias("last_start_us"))
+
+
+def p3_job_stats(spark: SparkSession, base: str) -> DataFrame:
+    return _p3_stats(spark, base, "job_id")
+
+
+def p3_workflow_stats(spark: SparkSession, base: str) -> DataFrame:
+    return _p3_stats(spark, base, "job_name")
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats}
+
+_P1_UNIT = """case when abs(start_timestamp) < 100000000000 then 'unix_s' when abs(start_timestamp) < 100000000000000 then 'unix_ms'
+  when abs(start_timestamp) < 100000000000000000 then 'unix_us' else 'unix_ns' end"""
+_CLEAN = r"nullif(nullif(nullif(regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^0+$', ''), ''), 'none'), '')"
+_P2 = f"""
+with n as (select *, {_CLEAN.format('event_id')} as k, {_CLEAN.format('parent_event_id')} as p from nodes),
+keys as (select k, min(ingested_at) as first_at from n where k is not null group by k),
+refs as (select 'nodes' as ref_table, id as ref_id, p as k, ingested_at from n where p is not null
+  union all select 'pv_events', pv_id, {_CLEAN.format('event_id')}, ingested_at from pv_events where {_CLEAN.format('event_id')} is not null),
+gone as (select distinct {_CLEAN.format('event_id')} as k from node_deletions),
+found as (select ref_table, ref_id, refs.k as target_event_id,
+  case when keys.k is not null then 'late' when gone.k is not null then 'deleted' else 'missing' end as orphan_kind,
+  strftime(ingested_at, '%Y-%m-%d') as period_day
+  from refs left join keys on refs.k = keys.k left join gone on refs.k = gone.k
+  where keys.k is null or keys.first_at > ingested_at)
+"""
+_P3 = f"""
+with u as (select {{0}}, {_CLEAN.format('event_id')} as k, case when start_timestamp not in (0, 9223372036854775807) then
+  case {_P1_UNIT} when 'unix_s' then start_timestamp * 1000000 when 'unix_ms' then start_timestamp * 1000 when 'unix_us' then start_timestamp else start_timestamp // 1000 end end as us from nodes)
+select {{0}}, count(*) as n_spans, count(distinct k) as n_events, min(us) as first_start_us, max(us) as last_start_us from u group by 1"""
+ORACLES = {
+    "p1_node_units": f"""
+with u as (select *, {_P1_UNIT} as unit from nodes where start_timestamp is not null and start_timestamp not in (0, 9223372036854775807)),
+v as (select unit, case unit when 'unix_s' then start_timestamp * 1000000 when 'unix_ms' then start_timestamp * 1000 when 'unix_us' then start_timestamp else start_timestamp // 1000 end as us from u)
+select unit, strftime(make_timestamp(us), '%Y-%m-%d') as utc_day, count(*) as n_records, cast(sum(us) as varchar) as sum_us from v group by 1, 2""",
+    "p2_found": _P2 + "select * from found",
+    "p3_found": " union all ".join(f"select '{k}' as key_field, {k} as heavy_key from nodes where {k} is not null group by {k} having count(*) >= 0.025 * (select count(*) from nodes)" for k in ("job_name", "job_id")),
+    "p3_job_stats": _P3.format("job_id"),
+    "p3_workflow_stats": _P3.format("job_name"),
+    "p2_report": _P2 + "select ref_table, orphan_kind, period_day, count(*) as n_references from found group by all",
+}
