@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.operators.heavy_keys import heavy_keys, key_stats
+from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies
 from weftspan.operators.references import clean_key, find_orphans
 from weftspan.operators.timestamps import normalise_timestamps, unix_instant_us
-from weftspan.runtime import epoch_us, table
+from weftspan.runtime import cut, epoch_us, table
 
 CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
@@ -80,7 +81,34 @@ def p3_workflow_stats(spark: SparkSession, base: str) -> DataFrame:
     return _p3_stats(spark, base, "job_name")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats}
+def _p4_links(spark: SparkSession, base: str) -> DataFrame:
+    nodes = table(spark, base, "nodes")
+    keep = {"job": F.col("job_id"), "p": clean_key(F.col("parent_event_id")), "loc": F.col("id")}
+    return first_arrivals(nodes, clean_key(F.col("event_id")), epoch_us(nodes, "ingested_at"), "id", keep)
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    out = hierarchies(_p4_links(spark, base))
+    finding = F.when(F.col("state") != "tree", F.col("state")).when(F.col("depth") >= 25, "deep")
+    return out.select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("top").alias("top_event_id"), finding.alias("finding")).where("finding is not null")
+
+
+def p4_hierarchy(spark: SparkSession, base: str) -> DataFrame:
+    """Every span with top, depth, path (joined by ``/``) and the number of spans below it."""
+    out = cut(hierarchies(_p4_links(spark, base), with_path=True))
+    below = descendants(out).groupBy("job", "k").agg(F.count(F.lit(1)).alias("n_descendants"))
+    return out.join(below, ["job", "k"], "left").select(
+        F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("top").alias("top_event_id"), "depth", "state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
+    )
+
+
+def p4_descendants(spark: SparkSession, base: str) -> DataFrame:
+    """Each span with every span below it."""
+    out = descendants(hierarchies(_p4_links(spark, base), with_path=True))
+    return out.select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("descendant").alias("descendant_event_id"), "distance")
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}
 
 _P1_UNIT = """case when abs(start_timestamp) < 100000000000 then 'unix_s' when abs(start_timestamp) < 100000000000000 then 'unix_ms'
   when abs(start_timestamp) < 100000000000000000 then 'unix_us' else 'unix_ns' end"""
@@ -101,7 +129,25 @@ _P3 = f"""
 with u as (select {{0}}, {_CLEAN.format('event_id')} as k, case when start_timestamp not in (0, 9223372036854775807) then
   case {_P1_UNIT} when 'unix_s' then start_timestamp * 1000000 when 'unix_ms' then start_timestamp * 1000 when 'unix_us' then start_timestamp else start_timestamp // 1000 end end as us from nodes)
 select {{0}}, count(*) as n_spans, count(distinct k) as n_events, min(us) as first_start_us, max(us) as last_start_us from u group by 1"""
+_P4 = f"""
+with recursive v as (select job_id, {_CLEAN.format('event_id')} as k, {_CLEAN.format('parent_event_id')} as p from nodes where {_CLEAN.format('event_id')} is not null
+  qualify row_number() over (partition by {_CLEAN.format('event_id')} order by ingested_at, id) = 1),
+link as (select c.job_id, c.k, c.p from v c join v a on a.k = c.p and a.job_id = c.job_id),
+up as (select job_id, k, k as node, [k] as seen from v
+  union all select up.job_id, up.k, link.p, list_append(seen, link.p) from up join link on link.job_id = up.job_id and link.k = up.node where not list_contains(seen, link.p)),
+ends as (select job_id, k, arg_max(node, len(seen)) as node, arg_max(seen, len(seen)) as seen from up group by 1, 2),
+solved as (select e.job_id, e.k, e.node, e.seen, link.p as back, case when link.p is not null then list_min(seen[list_position(seen, link.p):]) end as ring
+  from ends e left join link on link.job_id = e.job_id and link.k = e.node),
+tree as (select job_id, k as event_id, coalesce(ring, node) as top_event_id, case when ring is null then len(seen) - 1 end as depth,
+  case when ring is null then 'tree' when back = k then 'on_cycle' else 'leads_to_cycle' end as state,
+  case when ring is null then array_to_string(list_reverse(seen), '/') end as path, seen from solved),
+pairs as (select t.job_id, a as event_id, t.event_id as descendant_event_id, list_position(t.seen, a) - 1 as distance from (select *, unnest(seen[2:]) as a from tree where state = 'tree') t)
+"""
 ORACLES = {
+    "p4_found": _P4 + "select job_id, event_id, top_event_id, case when state <> 'tree' then state else 'deep' end as finding from tree where state <> 'tree' or depth >= 25",
+    "p4_hierarchy": _P4 + """select t.job_id, t.event_id, top_event_id, depth, state, path, coalesce(n, 0) as n_descendants
+  from tree t left join (select job_id, event_id, count(*) as n from pairs group by 1, 2) b on b.job_id = t.job_id and b.event_id = t.event_id""",
+    "p4_descendants": _P4 + "select * from pairs",
     "p1_node_units": f"""
 with u as (select *, {_P1_UNIT} as unit from nodes where start_timestamp is not null and start_timestamp not in (0, 9223372036854775807)),
 v as (select unit, case unit when 'unix_s' then start_timestamp * 1000000 when 'unix_ms' then start_timestamp * 1000 when 'unix_us' then start_timestamp else start_timestamp // 1000 end as us from u)
