@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspan.operators.heavy_keys import heavy_keys, key_stats
 from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies
+from weftspan.operators.nested import flat_tables, load_mappings, map_records
 from weftspan.operators.references import clean_key, find_orphans
 from weftspan.operators.timestamps import normalise_timestamps, unix_instant_us
 from weftspan.runtime import cut, epoch_us, table
@@ -108,7 +109,44 @@ def p4_descendants(spark: SparkSession, base: str) -> DataFrame:
     return out.select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("descendant").alias("descendant_event_id"), "distance")
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}
+SPANS = "resource_spans.scope_spans.spans"
+SPAN_FIELDS = ["job_name", "job_id", "event_type", "event_id", "start_timestamp", "end_timestamp", "application_name", "parent_event_id", "child_event_ids"]
+
+
+def _span_numbers() -> list:
+    return [F.col("label").getItem(i).alias(n) for i, n in enumerate(("resource_no", "scope_no", "span_no"))]
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    out = map_records(table(spark, base, "otel_records"), table(spark, base, "field_mappings"), SPANS, ["event_id", "event_type"])
+    return out.where("event_type is not null").select(F.col("record").alias("raw_id"), *_span_numbers(), F.col("event_id").alias("span_id"), "event_type")
+
+
+def p5_spans(spark: SparkSession, base: str) -> DataFrame:
+    """The span table with all mapped fields; (raw_id, resource_no, scope_no) is its link to the scope."""
+    out = map_records(table(spark, base, "otel_records"), table(spark, base, "field_mappings"), SPANS, SPAN_FIELDS)
+    return out.select(F.col("record").alias("raw_id"), *_span_numbers(), *SPAN_FIELDS)
+
+
+def _p5_flat(spark: SparkSession, base: str) -> DataFrame:
+    return flat_tables(table(spark, base, "otel_records"), load_mappings(table(spark, base, "field_mappings"))[1])
+
+
+def p5_attributes(spark: SparkSession, base: str) -> DataFrame:
+    """The attribute table of spans, each row with its label and that of its span."""
+    rows = _p5_flat(spark, base).where(F.col("table") == f"{SPANS}.attributes")
+    value = F.coalesce(F.try_element_at("columns", F.lit("value.Value.StringValue")), F.try_element_at("columns", F.lit("value.Value.stringValue")), F.try_element_at("columns", F.lit("value.Value.IntValue")))
+    key = F.coalesce(F.try_element_at("columns", F.lit("key")), F.try_element_at("columns", F.lit("key.kind_key")))
+    return rows.select(F.col("record").alias("raw_id"), "label", "parent_label", key.alias("key"), value.alias("value"))
+
+
+def p5_tables(spark: SparkSession, base: str) -> DataFrame:
+    """The flat tables that the records give, with their rows, parents and widest row; and the documents that give none."""
+    rows = _p5_flat(spark, base)
+    return rows.groupBy(F.coalesce("table", F.concat(F.lit("no records: "), "reason")).alias("table_path")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.regexp_extract("label", r"(\d+)$", 1).isin("0", ""), 1).otherwise(0)).alias("n_parents"), F.max(F.size("columns")).alias("most_columns"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_spans": p5_spans, "p5_attributes": p5_attributes, "p5_tables": p5_tables}
 
 _P1_UNIT = """case when abs(start_timestamp) < 100000000000 then 'unix_s' when abs(start_timestamp) < 100000000000000 then 'unix_ms'
   when abs(start_timestamp) < 100000000000000000 then 'unix_us' else 'unix_ns' end"""
