@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspan.llm.leakage import find_leaks, leak_spans
 from weftspan.llm.tokens import decode_ids, encode_texts
 from weftspan.runtime import table
 
@@ -28,4 +29,19 @@ def p6_round_trip(spark: SparkSession, base: str) -> DataFrame:
     return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p6_round_trip": p6_round_trip}
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, base: str) -> DataFrame:
+    """Where the passages are: cell, output and offsets in it."""
+    return leak_spans(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p7_report(spark: SparkSession, base: str) -> DataFrame:
+    """Leaks per benchmark: items that leaked, documents that hold some."""
+    items = table(spark, base, "eval_items").select("item_id", "benchmark")
+    return p7_found(spark, base).join(items, "item_id").groupBy("benchmark").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_leaks"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_spans": p7_spans, "p7_report": p7_report}
