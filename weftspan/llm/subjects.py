@@ -131,25 +131,54 @@ def vocabulary(cells: DataFrame, least_share: float = LEAST_SHARE, most_share: f
 
 
 def index_terms(cells: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """(doc_id, cell, term, n): parallel arrays for each notebook, sorted by cell and term."""
+    """(doc_id, cell, term, n): parallel arrays for each notebook, sorted by cell and term.
+
+    Each distinct word of a batch is looked up once; the rest is arithmetic on its code.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: tuple[list, list, list] = ([], [], [])
-            for cells_of in b.column(1).to_pylist():
-                cell, term, n = [], [], []
-                for i, words in enumerate(cells_of or ()):
-                    for t, c in sorted(Counter(known_terms(words, terms)).items()):
-                        cell.append(i)
-                        term.append(t)
-                        n.append(c)
-                for col, v in zip(cols, (cell, term, n)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in cols)], names=["doc_id", "cell", "term", "n"])
+            rows = b.column(1)
+            lists = rows.flatten()
+            words = lists.flatten().dictionary_encode()
+            ids = [list(known_terms([w], terms)) for w in words.dictionary.to_pylist()]
+            width = np.array([len(x) for x in ids], np.int64)
+            flat, first = np.array([i for x in ids for i in x], np.int64), np.cumsum(width) - width
+            code = words.indices.to_numpy()
+            cell_sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
+            row_sizes = np.diff(rows.offsets.to_numpy())
+            row_of_cell = np.repeat(np.arange(len(row_sizes)), row_sizes)
+            cell_no = np.arange(len(row_of_cell)) - np.repeat(np.cumsum(row_sizes) - row_sizes, row_sizes)
+            cell_of_word = np.repeat(np.arange(len(cell_sizes)), cell_sizes)
+            often = width[code]
+            at = np.repeat(first[code] - (np.cumsum(often) - often), often) + np.arange(often.sum())
+            keys, n = np.unique(np.repeat(cell_of_word, often) * max(1, len(terms)) + flat[at] if at.size else np.empty(0, np.int64), return_counts=True)
+            cell, term = keys // max(1, len(terms)), keys % max(1, len(terms))
+            yield _parallel(b.column(0), row_of_cell[cell], len(row_sizes), cell_no[cell], term, n)
 
     return cells.mapInArrow(run, "doc_id bigint, cell array<int>, term array<int>, n array<int>")
 
 
+def _parallel(docs: pa.Array, row: np.ndarray, rows: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Entries sorted by row as lists per row."""
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=rows))), pa.int32())
+    return pa.RecordBatch.from_arrays([docs, *(pa.ListArray.from_arrays(offsets, pa.array(c, pa.int32())) for c in columns)], names=["doc_id", "cell", "term", "n"])
+
+
+def keep_terms(indexed: DataFrame, keep: np.ndarray) -> DataFrame:
+    """Only the entries of kept terms, which are numbered anew."""
+    new = np.cumsum(keep) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, term, n = (b.column(i).flatten().to_numpy() for i in (1, 2, 3))
+            sizes = np.diff(b.column(2).offsets.to_numpy())
+            row, held = np.repeat(np.arange(len(sizes)), sizes), keep[term]
+            yield _parallel(b.column(0), row[held], len(sizes), cell[held], new[term[held]], n[held])
+
+    return indexed.mapInArrow(run, "doc_id bigint, cell array<int>, term array<int>, n array<int>")
+
+
 def digamma(x: np.ndarray) -> np.ndarray:
     out = np.zeros_like(x)
     for _ in range(6):
@@ -366,7 +395,7 @@ def fit_subjects(docs: DataFrame, subjects: DataFrame, items: DataFrame | None =
         keep[s] = True
     words = list(terms)
     kept = {words[i]: j for j, i in enumerate(np.flatnonzero(keep).tolist())}
-    indexed = cut(index_terms(cells, kept))
+    indexed = cut(keep_terms(indexed, keep))
     table = fit_topics(indexed, use[keep] + ETA)
     return SubjectModel(indexed, kept, table, map_topics(table, seeds_of(named, kept)))
 
