@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspan.operators import event_sets as es
 from weftspan.operators.references import clean_key
+from weftspan.plans import mining
 from weftspan.plans.problem_queries import _CLEAN
 from weftspan.runtime import cut, table
 from weftspan.schemas import START_EVENT
@@ -111,8 +112,18 @@ def model_documents(spark: SparkSession, base: str) -> DataFrame:
     return es.models(_model(spark, base)).select("job_name", F.to_json(F.struct("job_name", "events")).alias("model"))
 
 
+def gates(spark: SparkSession, base: str) -> DataFrame:
+    """What follows and precedes each event type, as gates."""
+    return mining.logic_gates(_model(spark, base))
+
+
+def puml(spark: SparkSession, base: str) -> DataFrame:
+    """An activity diagram of each workflow."""
+    return mining.diagrams_of(_seqs(spark, base))[0]
+
+
 QUERIES = {f.__name__: f for f in (
-    eventset_out, eventset_in, model_rows, model_merge, eventset_reduced, eventset_counts, eventset_subset, eventset_drop_type, markov_edges, overlap_components, dummy_start_edges, splice_dummy, reachability, scc_nodes, loop_start_nodes, loop_edges, model_documents,
+    eventset_out, eventset_in, model_rows, model_merge, eventset_reduced, eventset_counts, eventset_subset, eventset_drop_type, markov_edges, overlap_components, dummy_start_edges, splice_dummy, reachability, scc_nodes, loop_start_nodes, loop_edges, model_documents, gates, puml,
 )}
 
 SEQS = f"""
