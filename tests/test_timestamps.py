@@ -156,3 +156,18 @@ def test_inferred_order_is_marked(spark, registry):
 
 def test_abbreviations():
     assert abbreviations("America/St_Johns")["NDT"] == -9000 and abbreviations("Europe/London")["GMT"] == 0
+
+
+def test_extreme_integers(spark, registry):
+    from pyspark.sql import functions as F
+
+    from weftspan.operators.cleaning import nanoseconds
+    from weftspan.operators.timestamps import unix_instant_us
+
+    values = [None, 0, 2**63 - 1, -(2**63), 1, -1, 10**11 - 1, 10**14 - 1, 10**17 - 1, 10**17, 1_700_000_000]
+    df = spark.createDataFrame([(i, v, "ny") for i, v in enumerate(values)], "i int, t bigint, application_name string")
+    got = [r[0] for r in df.select(unix_instant_us(F.col("t"))).collect()]
+    assert got[:3] == [None] * 3 and got[3:] == [-(2**63) // 1000, 10**6, -(10**6), (10**11 - 1) * 10**6, (10**14 - 1) * 1000, 10**17 - 1, 10**14, 1_700_000_000 * 10**6]
+    assert [r[0] for r in df.select(nanoseconds(F.col("t"))).collect()][-3:] == [None, 10**17, 1_700_000_000 * 10**9]
+    rows = normalise_timestamps(df, "t", "application_name", None, registry, integers=True).orderBy("i").collect()
+    assert [r.ts_status for r in rows] == ["missing"] * 3 + ["explicit"] * 8 and [r.ts_instant_us for r in rows][3:] == got[3:]

@@ -13,10 +13,11 @@ MINUTE_NS = 60 * 10**9
 
 
 def nanoseconds(c: Column) -> Column:
-    """An integer Unix time of whatever unit in nanoseconds; null for null and sentinels."""
+    """An integer Unix time of whatever unit in nanoseconds; null for null, sentinels and what nanoseconds cannot hold."""
     v = F.when(~c.isin(*SENTINELS), c.cast("bigint"))
     unit = _unit(v)
-    return F.when(unit == "unix_s", v * 10**9).when(unit == "unix_ms", v * 10**6).when(unit == "unix_us", v * 1000).otherwise(v)
+    scale = F.when(unit == "unix_s", 10**9).when(unit == "unix_ms", 10**6).when(unit == "unix_us", 1000).otherwise(1)
+    return F.try_multiply(v, scale.cast("bigint"))
 
 
 def valid_records(nodes: DataFrame) -> DataFrame:

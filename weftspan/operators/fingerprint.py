@@ -48,7 +48,7 @@ def _hash_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tree_hashes(spans: DataFrame, piece_rows: int = PIECE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(job_id, top, tree_hash) of every tree; a job may have several. Spans in or behind rings have none."""
     links = spans.select(F.col("job_id").alias("job"), F.col("event_id").alias("k"), F.col("parent_event_id").alias("p"), F.col("start_timestamp").alias("loc"))
-    solved = hierarchies(links, piece_rows=piece_rows).where("state = 'tree'").select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("p").alias("parent"), "top", "depth")
+    solved = hierarchies(links, ready=True, piece_rows=piece_rows).where("state = 'tree'").select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("p").alias("parent"), "top", "depth")
     rows = cut(solved.join(spans.select("job_id", "event_id", "event_type"), ["job_id", "event_id"]))
     big = cut(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select("job_id", F.lit(True).alias("_big")))
     rows = join_small(rows, big, ["job_id"], "left", broadcast_rows)

@@ -187,26 +187,29 @@ def _contract(piece_rows: int, with_path: bool):
     return run
 
 
-def _place(links: DataFrame, hot: DataFrame, level: int, with_path: bool, piece_rows: int, broadcast_rows: int) -> DataFrame:
-    rows = join_small(links, hot, ["job"], "left", broadcast_rows)
-    by_order = F.size(F.filter("bounds", lambda b: b < F.col("loc"))) if level == 0 else F.pmod(F.xxhash64("k", F.lit(level)), F.col("pieces"))
-    number = F.when(F.col("pieces").isNotNull(), by_order).otherwise(0).cast("int")
-    # equal pieces of light groups may share a number; groups are told apart in the contraction
-    rows = rows.withColumn("piece", F.xxhash64("job", number)).withColumn("split", F.col("pieces").isNotNull())
+def _place(links: DataFrame, hot: DataFrame | None, level: int, with_path: bool, piece_rows: int, broadcast_rows: int) -> DataFrame:
+    if hot is None:
+        rows = links.withColumn("piece", F.xxhash64("job")).withColumn("split", F.lit(False))
+    else:
+        rows = join_small(links, hot, ["job"], "left", broadcast_rows)
+        by_order = F.size(F.filter("bounds", lambda b: b < F.col("loc"))) if level == 0 else F.pmod(F.xxhash64("k", F.lit(level)), F.col("pieces"))
+        number = F.when(F.col("pieces").isNotNull(), by_order).otherwise(0).cast("int")
+        # equal pieces of light groups may share a number; groups are told apart in the contraction
+        rows = rows.withColumn("piece", F.xxhash64("job", number)).withColumn("split", F.col("pieces").isNotNull())
     placed = rows.repartition("piece").sortWithinPartitions("piece")
     return placed.select("job", "k", "p", "w", "low", "mid", "split", "piece").mapInArrow(_contract(piece_rows, with_path), _OUT)
 
 
-def _hot(links: DataFrame, level: int, piece_rows: int, broadcast_rows: int) -> DataFrame:
+def _hot(links: DataFrame, level: int, piece_rows: int, broadcast_rows: int) -> DataFrame | None:
     """Groups too large for one piece, with the number of their pieces and, at first, the bounds of their arrival order."""
-    big = links.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece_rows).select("job", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces"))
+    big = cut(links.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece_rows).select("job", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces")))
+    if big.isEmpty():
+        return None
     if level:
-        return cut(big.withColumn("bounds", F.lit(None).cast("array<bigint>")))
-    big = cut(big)
+        return big.withColumn("bounds", F.lit(None).cast("array<bigint>"))
     inner = join_small(links.select("job", "loc"), big, ["job"], "inner", broadcast_rows)
     steps = inner.groupBy("job", "pieces").agg(F.percentile_approx("loc", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), F.lit(10_000)).alias("q"))
     every = F.greatest(F.lit(1), F.floor(F.lit(1024) / F.col("pieces"))).cast("int")
-    # with more than 1024 pieces each 1024th is cut further by the hash in the next level's manner
     return cut(steps.select("job", "pieces", F.filter("q", lambda x, i: (i + 1) % every == 0).alias("bounds")))
 
 
@@ -258,7 +261,7 @@ def _solve(links: DataFrame, level: int, piece_rows: int, with_path: bool, broad
     """links: (job, k, p, w, low, mid[, loc]) -> rows of _OUT whose state is top, on_cycle or leads_to_cycle."""
     hot = _hot(links, level, piece_rows, broadcast_rows)
     solved = _place(links, hot, level, with_path, piece_rows, broadcast_rows)
-    if hot.isEmpty():
+    if hot is None:
         return solved
     solved = cut(solved)
     inner = solved.where("split")
@@ -299,16 +302,16 @@ def _solve(links: DataFrame, level: int, piece_rows: int, with_path: bool, broad
     return solved.where("state != 'exit'").unionByName(grown)
 
 
-def hierarchies(links: DataFrame, *, with_path: bool = False, piece_rows: int = PIECE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def hierarchies(links: DataFrame, *, with_path: bool = False, ready: bool = False, piece_rows: int = PIECE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``links``: (job, k, p, loc); k is unique within job, loc an integer by which kin lie near each other.
 
     Returns (job, k, p, top, depth, state, path): state is ``tree``, ``on_cycle`` or ``leads_to_cycle``; path, from the
-    top down to the node, only with ``with_path``.
+    top down to the node, only with ``with_path``. ``ready``: the links come straight from a table, and need not be
+    written before they are read several times.
     """
     job = F.coalesce(F.concat(F.lit("v"), F.col("job").cast("string")), F.lit("n"))
     rows = links.where("k is not null").select(job.alias("job"), "k", "p", F.lit(1).cast("bigint").alias("w"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("array<string>").alias("mid"), F.coalesce(F.col("loc").cast("bigint"), F.lit(0)).alias("loc"))
-    rows = cut(rows)
-    out = _solve(rows, 0, piece_rows, with_path, broadcast_rows)
+    out = _solve(rows if ready else cut(rows), 0, piece_rows, with_path, broadcast_rows)
     job = F.when(F.col("job") != "n", F.substring("job", 2, 2**31 - 1))
     return out.select(job.alias("job"), "k", "p", F.coalesce("root", "cycle_top").alias("top"), F.col("dist").alias("depth"), F.when(F.col("state") == "top", "tree").otherwise(F.col("state")).alias("state"), "path")
 

@@ -36,11 +36,14 @@ def pv_timestamp(ns: Column) -> Column:
 
 
 def rejected_jobs(spans: DataFrame) -> DataFrame:
-    """(job_id, reason) of jobs that are no single tree: ``no root``, ``several roots``, ``disconnected`` or ``ring``."""
+    """(job_id, reason) of jobs that are no single tree: ``no root``, ``several roots``, ``disconnected`` or ``ring``.
+
+    ``spans`` are read several times; they should come from a table.
+    """
     roots = root_counts(spans).where("n_roots != 1").select("job_id", F.when(F.col("n_roots") == 0, "no root").otherwise("several roots").alias("reason"))
     apart = disconnected_jobs(spans).withColumn("reason", F.lit("disconnected"))
     links = spans.select(F.col("job_id").alias("job"), F.col("event_id").alias("k"), F.col("parent_event_id").alias("p"), F.col("start_timestamp").alias("loc"))
-    rings = hierarchies(links).where("state != 'tree'").select(F.col("job").alias("job_id"), F.lit("ring").alias("reason")).distinct()
+    rings = hierarchies(links, ready=True).where("state != 'tree'").select(F.col("job").alias("job_id"), F.lit("ring").alias("reason")).distinct()
     return roots.unionByName(apart).unionByName(rings).groupBy("job_id").agg(F.min("reason").alias("reason"))
 
 
@@ -78,7 +81,7 @@ def sibling_groups(spans: DataFrame, overlap: bool = False, groups: Groups | Non
 
 def predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None = None) -> DataFrame:
     """(job_id, event_id, previous): sorted ids of what precedes each span. ``spans`` are single trees."""
-    grouped = cut(sibling_groups(spans, overlap, groups))
+    grouped = sibling_groups(spans, overlap, groups)
     order = Window.partitionBy("job_id", "parent_event_id").orderBy("group_no")
     placed = grouped.withColumn("before", F.lag("ids").over(order)).withColumn("is_last", F.lead("group_no").over(order).isNull())
     placed = cut(placed)
@@ -86,7 +89,7 @@ def predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None
     last = placed.where("is_last").select("job_id", F.col("parent_event_id").alias("event_id"), F.col("ids").alias("own"))
     base = cut(spans.select("job_id", "event_id", "parent_event_id", "start_timestamp").join(siblings, ["job_id", "event_id"], "left"))
     links = base.select(F.col("job_id").alias("job"), F.col("event_id").alias("k"), F.when(F.col("before").isNull(), F.col("parent_event_id")).alias("p"), F.col("start_timestamp").alias("loc"))
-    solved = hierarchies(links).select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("top"))
+    solved = hierarchies(links, ready=True).select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("top"))
     inherited = base.where("before is not null").select("job_id", F.col("event_id").alias("top"), F.col("before").alias("inherited"))
     none = F.array().cast("array<string>")
     # childless spans alone inherit

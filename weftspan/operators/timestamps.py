@@ -98,8 +98,8 @@ def _days(y: Column, m: Column, d: Column) -> Column:
 
 def _unit(v: Column) -> Column:
     """The unit a Unix time is written in, by its size."""
-    size = F.abs(v)
-    return F.when(size < 10**11, "unix_s").when(size < 10**14, "unix_ms").when(size < 10**17, "unix_us").when(v.isNotNull(), "unix_ns")
+    below = lambda n: (v < n) & (v > -n)
+    return F.when(below(10**11), "unix_s").when(below(10**14), "unix_ms").when(below(10**17), "unix_us").when(v.isNotNull(), "unix_ns")
 
 
 def _unix_us(v: Column, unit: Column) -> Column:

@@ -46,7 +46,7 @@ def p1_node_units(spark: SparkSession, base: str) -> DataFrame:
     """Start times of nodes brought to UTC, counted per unit and day."""
     day = F.date_format(F.timestamp_micros("ts_instant_us"), "yyyy-MM-dd")
     rows = _p1_nodes(spark, base).where("ts_status = 'explicit'")
-    return rows.groupBy(F.col("ts_layout").alias("unit"), day.alias("utc_day")).agg(F.count(F.lit(1)).alias("n_records"), F.sum("ts_instant_us").cast("decimal(38,0)").cast("string").alias("sum_us"))
+    return rows.groupBy(F.col("ts_layout").alias("unit"), day.alias("utc_day")).agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.col("ts_instant_us").cast("decimal(38,0)")).cast("string").alias("sum_us"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

@@ -24,7 +24,7 @@ def _spans(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _clean(spark: SparkSession, base: str) -> DataFrame:
-    return cut(cleaning.name_jobs_by_root(_spans(spark, base)))
+    return cut(cleaning.name_jobs_by_root(cut(_spans(spark, base))))
 
 
 def dedupe_first(spark: SparkSession, base: str) -> DataFrame:
