@@ -21,7 +21,7 @@ DIAGRAMS = {
     "line": [A, B, C], "xor": [A, X([B], [C]), E], "and": [A, N([B], [C]), E], "or": [A, O([B], [C], [E]), F], "xor in and": [A, N([X([B], [C])], [E]), F], "and in xor": [A, X([N([B], [C])], [E]), F], "or in and": [A, N([O([B], [C])], [E]), F],
     "bunched xor": [A, X([X([B], [C]), E], [F]), G], "bunched and": [A, N([N([B], [C]), E], [F]), G], "nested after events": [A, X([B, N([C], [E]), F], [G]), H], "starts differ": [X([A], [B]), C], "starts together": [N([A], [B]), C],
     "detach": [A, X([B, GONE], [C]), E], "detach in and": [A, N([B, GONE], [C]), E], "loop": [A, L(B), C], "loop of three": [A, L(B, C, E), F], "loop in loop": [A, L(B, L(C), E), F], "xor in loop": [A, L(X([B], [C])), E], "and in loop": [A, L(B, N([C], [E]), F), G],
-    "break": [A, L(B, X([C, STOP], [E])), F], "break after two": [A, L(B, X([C, E, STOP], [F]), G), H], "loop in xor": [A, X([L(B)], [C]), E], "two loops": [A, L(B), C, L(E), F], "branch": [D.Act("A", True), B], "branch before": [C, D.Act("A", True), B, E], "loop first": [L(A), B], "kill in loop": [A, L(B, N([C], [E, GONE]), F), G],
+    "break": [A, L(B, X([C, STOP], [E])), F], "break after two": [A, L(B, X([C, E, STOP], [F]), G), H], "loop in xor": [A, X([L(B)], [C]), E], "two loops": [A, L(B), C, L(E), F], "branch": [D.Act("A", True), B], "branch before": [C, D.Act("A", True), B, E], "loop first": [L(A), B], "block after block": [A, X([B], [C]), N([E], [F]), G], "three blocks": [A, N([B], [C]), X([E], [F]), O([G], [H]), I], "block at the end of a path": [A, X([B, N([C], [E])], [F]), N([G], [H]), I], "blocks in loop": [A, L(X([B], [C]), N([E], [F])), G], "kill in loop": [A, L(B, N([C], [E, GONE]), F), G],
 }
 
 

@@ -78,11 +78,11 @@ def run(spark, *argv):
 
 def test_from_documents_to_diagrams_and_back(spark, project):
     tmp, conf = project
-    run(spark, "-o", tmp / "d", "otel2puml", "-c", conf, "-om")
+    run(spark, "-o", tmp / "d", "spans2puml", "-c", conf, "-om")
     text = (tmp / "d" / "Users_Svc.puml").read_text()
     want = [D.Act("first_200"), D.Block("XOR", [[D.Act("left_200")], [D.Act("right_200")]]), D.Act("last_200"), D.Act("root_200")]
     assert D.canonical(D.parse(text)) == D.canonical(want)
-    assert run(spark, "-o", tmp / "p", "otel2pv", "-c", conf, "-ni", "-ug", "-se") == ["2 sequences"]
+    assert run(spark, "-o", tmp / "p", "spans2pv", "-c", conf, "-ni", "-ug", "-se") == ["2 sequences"]
     out = sorted((tmp / "p" / "Users_Svc").iterdir())
     assert [p.name for p in out] == ["pv_event_sequence_1.json", "pv_event_sequence_2.json"]
     events = json.loads(out[0].read_text())
@@ -114,3 +114,21 @@ def test_pv_files(spark, tmp_path):
 
 def test_command_errors(spark, capsys):
     assert cli.main(["pv2puml"]) == 1 and "either" in capsys.readouterr().err
+
+
+def test_simulated_diagram_comes_back(spark, tmp_path):
+    from weftspan.mining.gates import infer, multiset
+    from weftspan.mining.simulate import diagram_to_span_files, dot, simulate
+    from weftspan.operators import event_sets as es
+    from weftspan.plans.mining import diagrams_of, logic_gates
+
+    items = [D.Act("A"), D.Block("XOR", [[D.Act("B")], [D.Act("C"), D.Loop([D.Act("E")])]]), D.Block("AND", [[D.Act("F")], [D.Act("G")]]), D.Act("H")]
+    text = D.write(items, "w")
+    pv = simulate(spark, text, "w", copies=2)
+    assert pv.select("jobId").distinct().count() == 6
+    drawn, rows = diagrams_of(es.sequences_of(pv))
+    assert D.equivalent(drawn.first().puml, text)
+    assert {(r.event_type, r.gate) for r in logic_gates(rows).where("direction = 'out'").collect()} >= {("A", "XOR(B,C)"), ("F", "H")}
+    (tmp_path / "d.puml").write_text(text)
+    assert diagram_to_span_files(spark, str(tmp_path / "d.puml"), str(tmp_path / "s"), "w", 5) == spark.read.json(str(tmp_path / "s")).count() > 10
+    assert dot(infer({multiset("AB")})).count("->") == 2

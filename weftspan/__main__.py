@@ -1,4 +1,4 @@
-"""Command line: otel2puml, otel2pv and pv2puml."""
+"""Command line: spans2puml, spans2pv and pv2puml."""
 
 from __future__ import annotations
 
@@ -24,8 +24,8 @@ def parser() -> argparse.ArgumentParser:
     traces.add_argument("-c", "--config", required=True, help="configuration file (.yaml)")
     traces.add_argument("-ni", "--no-ingest", action="store_true", help="use the spans in the store")
     traces.add_argument("-ug", "--unique-graphs", action="store_true", help="one job per structure and workflow")
-    sub.add_parser("otel2puml", parents=[both, model, traces], help="span documents to diagrams")
-    pv = sub.add_parser("otel2pv", parents=[both, traces], help="span documents to causal sequences")
+    sub.add_parser("spans2puml", parents=[both, model, traces], help="span documents to diagrams")
+    pv = sub.add_parser("spans2pv", parents=[both, traces], help="span documents to causal sequences")
     pv.add_argument("-se", "--save-events", action="store_true", help="write the sequences")
     pv.add_argument("-mc", "--mapping-config", help="names of the keys to write (.yaml)")
     puml = sub.add_parser("pv2puml", parents=[both, model], help="causal sequences to a diagram")
@@ -47,7 +47,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         known = files.read_models(spark, args.input_puml_models) if args.input_puml_models else None
         return pipeline.pv_to_diagrams(pv, args.output_dir, known, args.output_puml_models, args.job_name)
     out = pipeline.traces_to_pv(spark, cfg.load(args.config), not args.no_ingest, args.unique_graphs)
-    if args.command == "otel2pv":
+    if args.command == "spans2pv":
         return [f"{files.save_sequences(out.pv, args.output_dir, cfg.pv_mapping(args.mapping_config))} sequences"] if args.save_events else [f"{out.pv.count()} events"]
     known = files.read_models(spark, args.input_puml_models) if args.input_puml_models else None
     return pipeline.pv_to_diagrams(out.pv, args.output_dir, known, args.output_puml_models)

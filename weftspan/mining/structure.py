@@ -14,12 +14,30 @@ from weftspan.mining.loops import LoopBody, Model, Workflow, find_loops
 from weftspan.schemas import DUMMY_BREAK_EVENT, END_EVENT, START_EVENT
 
 _ARTIFICIAL = (START_EVENT, END_EVENT)
+JOIN = "\0join"
+
+
+def joined(flow: Workflow) -> Workflow:
+    """The flow with a silent node before each gate that several nodes share, so that their paths can come together there."""
+    shared: dict[frozenset, list[str]] = {}
+    for n, seen in flow.sets.items():
+        gate = infer(seen)
+        if gate is not None and gate.kind not in (LEAF, BRANCH):
+            shared.setdefault(frozenset(seen), []).append(n)
+    sets = dict(flow.sets)
+    for i, (seen, nodes) in enumerate(sorted(shared.items(), key=lambda x: sorted(x[1]))):
+        if len(nodes) > 1:
+            name = f"{JOIN}{i}"
+            sets[name] = set(seen)
+            for n in nodes:
+                sets[n] = {((name, 1),)}
+    return Workflow(sets, flow.loops)
 
 
 class _Builder:
     def __init__(self, flow: Workflow, breaks: set[str]) -> None:
-        self.flow, self.breaks = flow, breaks
-        self.g: Graph = flow.graph()
+        self.flow, self.breaks = joined(flow), breaks
+        self.g: Graph = self.flow.graph()
         self.rank = self.g.order()
         self.after = {n: {n} | self.g.reach(n) for n in self.g}
         self.depth = 0  # blocks that are open
@@ -39,7 +57,7 @@ class _Builder:
         return out
 
     def emit(self, node: str, out: list) -> None:
-        if node in _ARTIFICIAL or node.startswith(DUMMY_BREAK_EVENT):
+        if node in _ARTIFICIAL or node.startswith((DUMMY_BREAK_EVENT, JOIN)):
             return
         body = self.flow.loops.get(node)
         out.append(Loop(build(body.model, body.breaks)) if body else Act(node))
