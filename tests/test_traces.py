@@ -74,8 +74,22 @@ GROUPS = {"n": {"A": {"B": "g", "C": "g"}, "B": {"A": "x", "D": "x"}}}
 @pytest.mark.parametrize(("overlap", "groups"), [(False, None), (True, None), (False, GROUPS), (True, GROUPS)])
 def test_sequencing_is_the_recursion(spark, seed, overlap, groups):
     rows = tree(seed)
-    got = {(r.job_id, r.event_id): r.previous for r in seq.predecessors(spans(spark, rows), overlap, groups).collect()}
-    assert got == literal(rows, overlap, groups)
+    want = literal(rows, overlap, groups)
+    for wide in (100_000, 3):  # by windows, and the wider families over range partitions
+        got = {(r.job_id, r.event_id): r.previous for r in seq.predecessors(spans(spark, rows), overlap, groups, wide).collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_one_family_over_many_partitions(spark, overlap):
+    rnd = random.Random(8)
+    rows = [("j", "R", "r", 0, 9, None), *[("j", "K", f"k{i:03d}", a := rnd.randrange(400), a + rnd.randrange(9), "r") for i in range(200)], *[("i", "K", f"x{i}", i, i, "y") for i in range(9)], ("i", "R", "y", 0, 1, None)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(r.job_id, r.event_id): r.previous for r in seq.predecessors(spans(spark, rows), overlap, wide=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == literal(rows, overlap)
 
 
 def test_overlap_looks_at_the_last_of_the_group_before(spark):

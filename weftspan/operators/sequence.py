@@ -12,6 +12,11 @@ Groups hold one span each, those that overlap in time (``overlap``), or those th
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,9 @@ from weftspan.runtime import BROADCAST_ROWS, cut, join_small
 
 Groups = dict[str, dict[str, dict[str, str]]]
 Renames = dict[str, dict[str, tuple[set[str], str]]]
+#: Groups of children above which they are ordered over several tasks.
+WIDE = 100_000
+_PARENT = ["job_id", "parent_event_id"]
 _TYPES = "job_name string, parent_type string, child_type string, group_id string"
 
 
@@ -56,8 +64,12 @@ def group_table(spans: DataFrame, groups: Groups) -> DataFrame:
     return spans.sparkSession.createDataFrame(rows, _TYPES)
 
 
-def sibling_groups(spans: DataFrame, overlap: bool = False, groups: Groups | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(job_id, parent_event_id, group_no, ids): groups of the children of each span, in order, from 1."""
+def sibling_groups(spans: DataFrame, overlap: bool = False, groups: Groups | None = None, broadcast_rows: int = BROADCAST_ROWS, wide: int = WIDE) -> DataFrame:
+    """(job_id, parent_event_id, group_no, ids, before, is_last): groups of the children of each span, numbered from 1.
+
+    ``before`` are the ids of the group before, null for the first. Children of a span are ordered by a window; those of
+    a span with more than ``wide`` groups over range partitions, so that no task has to take them all.
+    """
     kids = spans.where("parent_event_id is not null").select("job_id", "parent_event_id", "event_id", "event_type", "job_name", "start_timestamp", "end_timestamp")
     group = F.concat(F.lit("one:"), "event_id")
     if groups:
@@ -66,25 +78,88 @@ def sibling_groups(spans: DataFrame, overlap: bool = False, groups: Groups | Non
         config = group_table(spans, groups).withColumnRenamed("child_type", "event_type")
         kids = join_small(kids, config, ["job_name", "parent_type", "event_type"], "left", broadcast_rows)
         group = F.coalesce(F.concat(F.lit("cfg:"), "group_id"), group)
-    members = kids.groupBy("job_id", "parent_event_id", group.alias("grp")).agg(
+    members = kids.groupBy(*_PARENT, group.alias("grp")).agg(
         F.min(F.struct("start_timestamp", "event_id")).alias("first"), F.max(F.struct("start_timestamp", "event_id", "end_timestamp")).alias("last"), F.collect_list("event_id").alias("ids")
     )
-    order = Window.partitionBy("job_id", "parent_event_id").orderBy("first")
-    if not overlap:
-        return members.select("job_id", "parent_event_id", F.row_number().over(order).alias("group_no"), F.array_sort("ids").alias("ids"))
-    # a new group begins where the last span of the group before has ended; touching times overlap
-    starts = F.lag("last.end_timestamp").over(order)
-    opened = members.withColumn("opens", (starts.isNull() | (starts < F.col("first.start_timestamp"))).cast("int"))
-    numbered = opened.withColumn("group_no", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
-    return numbered.groupBy("job_id", "parent_event_id", "group_no").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-
-
-def predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None = None) -> DataFrame:
+    members = cut(members.select(*_PARENT, F.col("first.start_timestamp").alias("start"), F.col("first.event_id").alias("first_id"), F.col("last.end_timestamp").alias("end"), "ids"))
+    hot = cut(members.groupBy(*_PARENT).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > wide).select(*_PARENT, F.lit(True).alias("_wide")))
+    if hot.isEmpty():
+        return _by_window(members, overlap)
+    marked = join_small(members, hot, _PARENT, "left", broadcast_rows)
+    return _by_window(marked.where("_wide is null").drop("_wide"), overlap).unionByName(_by_ranges(marked.where("_wide").drop("_wide"), overlap))
+
+
+def _by_window(members: DataFrame, overlap: bool) -> DataFrame:
+    order = Window.partitionBy(*_PARENT).orderBy("start", "first_id")
+    if overlap:
+        # a new group begins where the last span of the group before has ended; touching times overlap
+        ended = F.lag("end").over(order)
+        opened = members.withColumn("opens", (ended.isNull() | (ended < F.col("start"))).cast("int"))
+        numbered = opened.withColumn("group_no", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        members = _gathered(numbered)
+    else:
+        members = members.withColumn("group_no", F.row_number().over(order).cast("bigint")).withColumn("ids", F.array_sort("ids"))
+    by_no = Window.partitionBy(*_PARENT).orderBy("group_no")
+    return members.select(*_PARENT, "group_no", "ids", F.lag("ids").over(by_no).alias("before"), F.lead("group_no").over(by_no).isNull().alias("is_last"))
+
+
+def _gathered(numbered: DataFrame) -> DataFrame:
+    return numbered.groupBy(*_PARENT, "group_no").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+
+def _number(overlap: bool):
+    """Rows come sorted; numbers groups from 1 within each parent, as far as this partition can tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, n, ended, first, run_no = TaskContext.get().partitionId(), None, 0, None, None, 0
+        for b in batches:
+            numbers, open_run = [], []
+            for k, start, end in zip(zip(*(b.column(i).to_pylist() for i in range(2))), b.column(2).to_pylist(), b.column(4).to_pylist()):
+                if k != key:
+                    run_no += 1
+                    n = 0 if run_no == 1 else 1  # whether the partition's first row opens a group is not known here
+                    first = first or (k, start)
+                    key = k
+                elif not overlap or ended < start:
+                    n += 1
+                ended = end
+                numbers.append(n)
+                open_run.append(run_no == 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(numbers, pa.int64()), pa.array(open_run), pa.nulls(b.num_rows, pa.string())], names=[*b.schema.names, "part", "n", "open_run", "edge"])
+        if first:
+            edge = json.dumps([part, first[0], first[1], key, ended, n, run_no])
+            row = {"job_id": [""], "parent_event_id": [""], "start": [0], "first_id": [""], "end": [0], "ids": [[]], "part": [part], "n": [0], "open_run": [False], "edge": [edge]}
+            yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("job_id", pa.string()), ("parent_event_id", pa.string()), ("start", pa.int64()), ("first_id", pa.string()), ("end", pa.int64()), ("ids", pa.list_(pa.string())), ("part", pa.int32()), ("n", pa.int64()), ("open_run", pa.bool_()), ("edge", pa.string())]))
+
+    return run
+
+
+def _by_ranges(members: DataFrame, overlap: bool) -> DataFrame:
+    """The same for parents of any number of children: partitions number their part, and are joined at their edges."""
+    order = [*_PARENT, "start", "first_id"]
+    placed = members.select(*order, "end", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    shape = "job_id string, parent_event_id string, start bigint, first_id string, end bigint, ids array<string>, part int, n bigint, open_run boolean, edge string"
+    rows = cut(placed.mapInArrow(_number(overlap), shape))
+    # one edge per partition: the groups that were open where it began
+    offsets, last = [], None
+    for part, first_key, start, last_key, ended, n, runs in sorted(json.loads(r.edge) for r in rows.where("edge is not null").select("edge").collect()):
+        going = last is not None and last[0] == first_key
+        offset = (last[2] if going else 0) + (1 if not going or not overlap or last[1] < start else 0)
+        offsets.append((part, offset))
+        last = (last_key, ended, n + offset if runs == 1 else n)
+    table = rows.sparkSession.createDataFrame(offsets, "part int, offset bigint")
+    numbered = rows.where("edge is null").join(F.broadcast(table), "part", "left")
+    numbered = numbered.select(*_PARENT, "ids", (F.col("n") + F.when(F.col("open_run"), F.col("offset")).otherwise(0)).alias("group_no"))
+    grouped = cut(_gathered(numbered))
+    before = grouped.select(*_PARENT, (F.col("group_no") + 1).alias("group_no"), F.col("ids").alias("before"))
+    ends = grouped.groupBy(*_PARENT).agg(F.max("group_no").alias("_most"))
+    out = join_small(grouped.join(before, [*_PARENT, "group_no"], "left"), ends, _PARENT, "left")
+    return out.select(*_PARENT, "group_no", "ids", "before", (F.col("group_no") == F.col("_most")).alias("is_last"))
+
+
+def predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None = None, wide: int = WIDE) -> DataFrame:
     """(job_id, event_id, previous): sorted ids of what precedes each span. ``spans`` are single trees."""
-    grouped = sibling_groups(spans, overlap, groups)
-    order = Window.partitionBy("job_id", "parent_event_id").orderBy("group_no")
-    placed = grouped.withColumn("before", F.lag("ids").over(order)).withColumn("is_last", F.lead("group_no").over(order).isNull())
-    placed = cut(placed)
+    placed = cut(sibling_groups(spans, overlap, groups, wide=wide))
     siblings = placed.where("before is not null").select("job_id", F.explode("ids").alias("event_id"), "before")
     last = placed.where("is_last").select("job_id", F.col("parent_event_id").alias("event_id"), F.col("ids").alias("own"))
     base = cut(spans.select("job_id", "event_id", "parent_event_id", "start_timestamp").join(siblings, ["job_id", "event_id"], "left"))

@@ -60,13 +60,14 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     """Join ``big`` with a table expected to be small.
 
     The small side is counted first. Up to ``max_rows`` rows it is broadcast; beyond, both sides are shuffled on
-    ``on`` and a salt, the small side being repeated ``salt`` times, so that one hot key of ``big`` is spread.
-    ``how`` is inner, left or left_semi.
+    ``on`` and a salt, the small side being repeated ``salt`` times, so that one hot key of ``big`` is spread. The salt
+    is a hash of the row, so that a task run again puts each row where it was. ``how`` is inner, left or left_semi.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    hashed = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(salt)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
