@@ -5,7 +5,7 @@ import sys
 
 import duckdb
 import pytest
-from conftest import SMALL
+from paths import SMALL
 
 import __spark_entry__ as entries
 

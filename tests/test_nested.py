@@ -4,7 +4,7 @@ import json
 
 import duckdb
 import pytest
-from conftest import MIDDLE
+from paths import MIDDLE
 
 from weftspan.operators.nested import as_text, flat_tables, map_records, read_json
 from weftspan.plans.problem_queries import SPANS, p5_found, p5_spans

@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 
 import duckdb
 import pytest
-from conftest import MIDDLE
+from paths import MIDDLE
 
 from weftspan.operators.timestamps import abbreviations, fit_mixture, normalise_timestamps
 from weftspan.plans.problem_queries import p1_found

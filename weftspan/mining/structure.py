@@ -10,7 +10,7 @@ from __future__ import annotations
 from weftspan.mining.diagram import BREAK, DETACH, Act, Block, Loop, Stop, write
 from weftspan.mining.gates import BRANCH, LEAF, NONE, Gate, infer
 from weftspan.mining.graph import Graph
-from weftspan.mining.loops import LoopBody, Model, Workflow, find_loops
+from weftspan.mining.loops import Model, Workflow, find_loops
 from weftspan.schemas import DUMMY_BREAK_EVENT, END_EVENT, START_EVENT
 
 _ARTIFICIAL = (START_EVENT, END_EVENT)
@@ -163,4 +163,3 @@ def puml_of(sets: Model, name: str = "default_name") -> str:
     return write(diagram_of(sets), name)
 
 
-__all__ = ["LoopBody", "build", "diagram_of", "puml_of"]

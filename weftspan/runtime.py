@@ -69,8 +69,3 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     hashed = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(salt)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
-
-
-def task_count(df: DataFrame, least: int = 1) -> int:
-    """Partitions of a shuffle of ``df``: as many as it has input partitions or the session's setting, whichever is more."""
-    return max(least, df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
