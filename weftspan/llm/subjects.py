@@ -46,17 +46,31 @@ ECHO_WORDS, ECHO_SHARE = 4, 0.1
 #: Words that a cell must have besides its quotations to be about something.
 LEAST_REST = 6
 
-_TERM, _CAMEL = re.compile(r"\b[^\W\d]\w*"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+_TERM, _CAMEL = re.compile(r"\w+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def terms_of(text: str) -> Iterator[str]:
+_split: dict[str, tuple[str, ...]] = {}
+
+
+def _terms(token: str) -> tuple[str, ...]:
+    if token[0].isdigit():
+        return ()
+    if "_" in token or token.islower():
+        return (token.lower(),) if len(token) > 1 else ()
+    return tuple(p.lower() for p in _CAMEL.split(token) if len(p) > 1)
+
+
+def terms_of(text: str) -> list[str]:
     """Words of two letters or more, and joined identifiers as a whole."""
+    out: list[str] = []
     for t in _TERM.findall(text):
-        if "_" in t or t.islower():
-            if len(t) > 1:
-                yield t.lower()
-        else:
-            yield from (p.lower() for p in _CAMEL.split(t) if len(p) > 1)
+        got = _split.get(t)
+        if got is None:
+            if len(_split) > 200_000:
+                _split.clear()
+            got = _split[t] = _terms(t)
+        out += got
+    return out
 
 
 def known_terms(words: list[str], terms: dict[str, int]) -> Iterator[int]:
@@ -114,7 +128,7 @@ def cell_terms(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                cells = [[list(terms_of(quotes.without(c.source))) for c in read_cells(t.as_py(), f.as_py())] for t, f in zip(part.column(1), part.column(2))]
+                cells = [[terms_of(quotes.without(c.source)) for c in read_cells(t.as_py(), f.as_py())] for t, f in zip(part.column(1), part.column(2))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.list_(pa.list_(pa.string())))], names=["doc_id", "cells"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("nb_format").cast("string").alias("nb_format"))
