@@ -1,8 +1,8 @@
 """Structural fingerprints of call trees, and the jobs that represent each structure.
 
 The fingerprint of a span is a hash of its type and of the sorted fingerprints of its children; it does not depend on
-ids, times or the order of children. Jobs that fit one task are fingerprinted there, level by level; of larger jobs
-each level is an aggregate, deepest first, so no job has to fit a task.
+ids, times or the order of children. Trees that fit one task are fingerprinted there, deepest spans first, wherever
+their job's other trees are; of larger trees each level is an aggregate, so no tree has to fit a task.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ def _xx64_column(c: Column) -> Column:
     return F.udf(lambda text: None if text is None else xx64(text), "string", useArrow=True)(c)
 
 
-def _hash_jobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole jobs, each job's rows together and deepest first; yields the hash of each top."""
-    job, kids, out = None, {}, ([], [], [])
+def _hash_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole trees, each tree's rows together and deepest first; yields the hash of each top."""
+    tree, kids, out = None, {}, ([], [], [])
     for b in batches:
         for j, top, k, p, kind, depth in zip(*(c.to_pylist() for c in b.columns)):
-            if j != job:
-                job, kids = j, {}
+            if (j, top) != tree:
+                tree, kids = (j, top), {}
             h = xx64(kind + "".join(sorted(kids.pop(k, ()))))
             if depth:
                 kids.setdefault(p, []).append(h)
@@ -50,10 +50,10 @@ def tree_hashes(spans: DataFrame, piece_rows: int = PIECE_ROWS, broadcast_rows:
     links = spans.select(F.col("job_id").alias("job"), F.col("event_id").alias("k"), F.col("parent_event_id").alias("p"), F.col("start_timestamp").alias("loc"))
     solved = hierarchies(links, ready=True, piece_rows=piece_rows).where("state = 'tree'").select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("p").alias("parent"), "top", "depth")
     rows = cut(solved.join(spans.select("job_id", "event_id", "event_type"), ["job_id", "event_id"]))
-    big = cut(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select("job_id", F.lit(True).alias("_big")))
-    rows = join_small(rows, big, ["job_id"], "left", broadcast_rows)
-    light = rows.where("_big is null").repartition("job_id").sortWithinPartitions("job_id", F.desc("depth"))
-    out = light.select("job_id", "top", "event_id", "parent", "event_type", "depth").mapInArrow(_hash_jobs, "job_id string, top string, tree_hash string")
+    big = cut(rows.groupBy("job_id", "top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select("job_id", "top", F.lit(True).alias("_big")))
+    rows = join_small(rows, big, ["job_id", "top"], "left", broadcast_rows)
+    light = rows.where("_big is null").repartition("job_id", "top").sortWithinPartitions("job_id", "top", F.desc("depth"))
+    out = light.select("job_id", "top", "event_id", "parent", "event_type", "depth").mapInArrow(_hash_trees, "job_id string, top string, tree_hash string")
     if big.isEmpty():
         return out
     heavy = cut(rows.where("_big").drop("_big"))
