@@ -106,9 +106,9 @@ def page(rows: DataFrame, offset: int, size: int, order: str = "event_id") -> Da
     return rows.orderBy(order).offset(offset).limit(size)
 
 
-def of_jobs(spans: DataFrame, job_ids: list[str]) -> DataFrame:
-    """Spans of the named jobs."""
-    return spans.where(F.col("job_id").isin(job_ids))
+def of_jobs(spans: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Spans of the jobs named in ``jobs`` (job_id)."""
+    return spans.join(jobs.select("job_id").where("job_id is not null").distinct(), "job_id", "left_semi")
 
 
 def select_jobs(spans: DataFrame, names: set[str] | None = None, jobs: DataFrame | None = None) -> DataFrame:

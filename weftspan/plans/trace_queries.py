@@ -85,7 +85,8 @@ def root_page(spark: SparkSession, base: str) -> DataFrame:
 
 
 def job_batch(spark: SparkSession, base: str) -> DataFrame:
-    return fingerprint.of_jobs(_spans(spark, base), ["tr000000097", "tr000000014", "tr000000256", "tr-batch-amber"]).select("job_id", "event_id", "event_type", "start_timestamp")
+    """Spans of the jobs whose fingerprint is on record."""
+    return fingerprint.of_jobs(_spans(spark, base), table(spark, base, "job_hashes")).select("job_id", "event_id", "event_type", "start_timestamp")
 
 
 def child_lists(spark: SparkSession, base: str) -> DataFrame:
@@ -235,7 +236,7 @@ select reason, count(*) as n_records from r where reason <> 'without ' group by
     "rejected_jobs": f"with recursive {SPANS}{REJECTED} select * from bad",
     "roots_in_window": f"with {SPANS}{WINDOW} select job_id, event_id from spans where parent_event_id is null and job_id in (select job_id from inside)",
     "root_page": f"with {SPANS} select event_id, job_id from spans where parent_event_id is null order by event_id limit 100 offset 200",
-    "job_batch": f"with {SPANS} select job_id, event_id, event_type, start_timestamp from spans where job_id in ('tr000000097', 'tr000000014', 'tr000000256', 'tr-batch-amber')",
+    "job_batch": f"with {SPANS} select job_id, event_id, event_type, start_timestamp from spans where job_id in (select job_id from job_hashes)",
     "child_lists": f"with {SPANS} select job_id, parent_event_id as event_id, count(*) as n_children, string_agg(event_id, ',' order by event_id) as children from spans where parent_event_id is not null group by 1, 2",
     "filtered_stream": f"with {NAMED} select job_name, job_id, event_id, event_type from named where job_name in ('ledger_close', 'parcel_intake', 'seat_booking') and exists (select 1 from job_hashes h where h.job_name = named.job_name and h.job_id = named.job_id)",
     "tree_shapes": """with l as (select l_orderkey, l_linenumber, min(l_returnflag || l_linestatus) as kind, count(*) as n from lineitem group by 1, 2),
