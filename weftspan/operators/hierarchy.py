@@ -213,21 +213,22 @@ def _hot(links: DataFrame, level: int, piece_rows: int, broadcast_rows: int) ->
     return cut(steps.select("job", "pieces", F.filter("q", lambda x, i: (i + 1) % every == 0).alias("bounds")))
 
 
-def _jump(links: DataFrame) -> DataFrame:
+def _jump(links: DataFrame, with_path: bool = True) -> DataFrame:
     """The same by joins alone: pointers are doubled until nobody newly reaches a root, then round the cycles."""
+    no_path = F.lit(None).cast("array<string>")
     parents = links.select("job", F.col("k").alias("p"), F.lit(True).alias("_there"))
     inner = F.coalesce("mid", F.array().cast("array<string>"))
     end = F.col("_there").isNull()
     state = cut(links.join(parents, ["job", "p"], "left").select(
         "job", "k", "p", F.when(end, F.col("k")).otherwise(F.col("p")).alias("anc"), F.when(end, 0).otherwise(F.col("w")).cast("bigint").alias("dist"), end.alias("done"),
-        F.when(end, F.col("k")).otherwise(F.least("k", F.coalesce("low", "k"))).alias("low"), F.when(end, F.array("k")).otherwise(F.concat(inner, F.array("k"))).alias("path"),
+        F.when(end, F.col("k")).otherwise(F.least("k", F.coalesce("low", "k"))).alias("low"), (F.when(end, F.array("k")).otherwise(F.concat(inner, F.array("k"))) if with_path else no_path).alias("path"),
     ))
     left, after = state.where("not done").count(), 0
     while left:
         hop = state.select("job", F.col("k").alias("anc"), *[F.col(c).alias(f"_{c}") for c in ("anc", "dist", "done", "low", "path")])
         moving = state.where("not done").join(hop, ["job", "anc"]).select(
             "job", "k", "p", F.col("_anc").alias("anc"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"),
-            (F.col("path") if after else F.concat("_path", "path")).alias("path"),
+            (F.col("path") if after or not with_path else F.concat("_path", "path")).alias("path"),
         )
         state = cut(state.where("done").unionByName(moving))
         now = state.where("not done").count()
@@ -280,7 +281,7 @@ def _solve(links: DataFrame, level: int, piece_rows: int, with_path: bool, broad
     )
     quotient = cut(quotient)
     shrunk = quotient.count() <= 0.6 * inner.count()
-    upper = cut(_solve(quotient, level + 1, piece_rows, with_path, broadcast_rows) if shrunk else _jump(quotient))
+    upper = cut(_solve(quotient, level + 1, piece_rows, with_path, broadcast_rows) if shrunk else _jump(quotient, with_path))
     up = upper.select("job", F.col("k").alias("target"), F.col("root").alias("_root"), F.col("dist").alias("_dist"), F.col("state").alias("_state"), F.col("cycle_top").alias("_top"), F.col("path").alias("_path"))
     grown = join_small(leaving, up, ["job", "target"], "left", broadcast_rows)
     loops = F.col("_state").isin("on_cycle", "leads_to_cycle")
