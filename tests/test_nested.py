@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from paths import MIDDLE
 
-from weftspan.operators.nested import as_text, flat_tables, map_records, read_json
-from weftspan.plans.problem_queries import SPANS, p5_found, p5_spans
+from weftspan.operators.nested import as_text, flat_tables, map_records, read_json, value_text
+from weftspan.plans.problem_queries import SPANS, p5_attributes, p5_found, p5_rows, p5_spans
 
 MAPPING = "mapping_id int, field_name string, part_no int, fallback_rank int, key_path string, key_value string, value_path string, value_type string"
 
@@ -100,3 +100,60 @@ def test_empty_and_scalars(spark):
     df = spark.createDataFrame([], "raw_id bigint, mapping_id int, payload string")
     assert map_records(df, spark.createDataFrame([], MAPPING), SPANS, ["event_type"]).count() == 0
     assert as_text(read_json('{"a": 1e5}')[0]["a"]) == "1e5" and as_text(12345678901234567890) == "12345678901234567890"
+
+
+def documents(base):
+    for rid, text in duckdb.sql(f"select raw_id, payload from '{base}/otel_records.parquet'").fetchall():
+        try:
+            doc = json.loads(text, strict=False)
+        except (TypeError, ValueError):
+            continue
+        yield rid, doc.get("resource_spans") if isinstance(doc, dict) else None
+
+
+def dotted(*label):
+    return ".".join(map(str, label))
+
+
+def test_every_attribute_has_its_value(spark):
+    def plain(v):
+        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    want = []
+    for rid, resources in documents(MIDDLE):
+        for i, res in enumerate(elements(resources)):
+            for j, scope in enumerate(elements(res.get("scope_spans"))):
+                for k, span in enumerate(elements(scope.get("spans"))):
+                    for n, a in enumerate(elements(span.get("attributes"))):
+                        key = a.get("key")
+                        (inner,) = a["value"]["Value"].values()
+                        want.append((rid, dotted(i, j, k, n), dotted(i, j, k), key["kind_key"] if isinstance(key, dict) else key, plain(a["value"] if isinstance(inner, dict) else inner)))
+    got = [tuple(r) for r in p5_attributes(spark, MIDDLE).collect()]
+    assert any("ArrayValue" in r[-1] for r in want) and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_all_flat_tables_with_links(spark):
+    rows = p5_rows(spark, MIDDLE).collect()
+    at = {(r.raw_id, r.table_path, r.label) for r in rows if r.reason is None}
+    assert len(at) == sum(r.reason is None for r in rows) and all((r.raw_id, r.parent_table, r.parent_label) in at for r in rows if r.table_path)
+    want = set()
+    for rid, resources in documents(MIDDLE):
+        for i, res in enumerate(elements(resources)):
+            want.add((rid, "resource_spans", dotted(i), "", ""))
+            want |= {(rid, "resource_spans.resource.attributes", dotted(i, n), "resource_spans", dotted(i)) for n, _ in enumerate(elements((res.get("resource") or {}).get("attributes")))}
+            for j, scope in enumerate(elements(res.get("scope_spans"))):
+                want.add((rid, "resource_spans.scope_spans", dotted(i, j), "resource_spans", dotted(i)))
+                for k, span in enumerate(elements(scope.get("spans"))):
+                    want.add((rid, SPANS, dotted(i, j, k), "resource_spans.scope_spans", dotted(i, j)))
+                    for n, a in enumerate(elements(span.get("attributes"))):
+                        want.add((rid, f"{SPANS}.attributes", dotted(i, j, k, n), SPANS, dotted(i, j, k)))
+                        values = a["value"]["Value"].get("ArrayValue", {}).get("values", [])
+                        want |= {(rid, f"{SPANS}.attributes.value.Value.ArrayValue.values", dotted(i, j, k, n, m), f"{SPANS}.attributes", dotted(i, j, k, n)) for m, _ in enumerate(values)}
+    tables = {w[1] for w in want}
+    assert len(tables) == 6 and {(r.raw_id, r.table_path, r.label, r.parent_table, r.parent_label) for r in rows if r.table_path in tables} == want
+
+
+def test_value_text():
+    read = lambda text: value_text(read_json('{"v": %s}' % text)[0]["v"])
+    assert [read(x) for x in ('"s"', '{"Value": {"BoolValue": false}}', '{"d": 1.50}', '{"a": null, "b": 5}', '{"Value": {"StringValue": null}}', "null")] == ["s", "false", "1.50", "5", None, None]
+    assert [read(x) for x in ('{"Value": {"ArrayValue": {"values": [1, "é"]}}}', '{"a": 1, "b": {"c": 2.0}}', "[]", '{"Value": {}}', "{}")] == ['{"Value":{"ArrayValue":{"values":[1,"é"]}}}', '{"a":1,"b":{"c":2.0}}', "[]", '{"Value":{}}', "{}"]

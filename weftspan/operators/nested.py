@@ -24,7 +24,7 @@ mapping_id null or unknown       no fields
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -79,6 +79,17 @@ def _dump(v: object) -> str:
     return json.dumps(v, ensure_ascii=False)
 
 
+def value_text(v: object) -> str | None:
+    """The plain value that ``v`` is or that lies alone in it, as a string or JSON text; else the JSON text of all of ``v``."""
+    got = v
+    while isinstance(got, dict) and got:
+        filled = [x for x in got.values() if x is not None]
+        if len(filled) > 1:
+            break
+        got = filled[0] if filled else None
+    return as_text(v if isinstance(got, (dict, list)) else got)
+
+
 def names_of(path: str) -> list[str]:
     return [p for p in path.split(".") if p != STEP]
 
@@ -147,12 +158,13 @@ class Shredder:
 
     def shred(self, doc: dict) -> dict[str, list[tuple[tuple, dict]]]:
         self.tables: dict[str, list[tuple[tuple, dict]]] = {}
+        self.parents: dict[str, list[str | None]] = {"": [None]}  # the table of each record's parent
         top: dict = {}
         self.tables[""] = [((), top)]
-        self._object(doc, "", "", (), top, self.trie)
+        self._object(doc, "", "", "", (), top, self.trie)
         return self.tables
 
-    def _object(self, obj: dict, path: str, prefix: str, label: tuple, columns: dict, trie: dict | None) -> None:
+    def _object(self, obj: dict, own_table: str, path: str, prefix: str, label: tuple, columns: dict, trie: dict | None) -> None:
         for name, v in obj.items():
             sub = None
             if trie is not None:
@@ -168,15 +180,16 @@ class Shredder:
                         continue
                 if isinstance(v, dict):
                     if here not in self.repeated:
-                        self._object(v, here, f"{prefix}{name}.", label, columns, sub)
+                        self._object(v, own_table, here, f"{prefix}{name}.", label, columns, sub)
                         continue
                     v = [v]
                 table = self.tables.setdefault(here, [])
+                self.parents.setdefault(here, []).extend([own_table] * len(v))
                 for i, e in enumerate(v):
                     own: dict = {}
                     table.append(((*label, i), own))
                     if isinstance(e, dict):
-                        self._object(e, here, "", (*label, i), own, sub)
+                        self._object(e, here, here, "", (*label, i), own, sub)
                     elif isinstance(e, list):
                         own[""] = _dump(e)
                     else:
@@ -313,17 +326,21 @@ def map_records(df: DataFrame, mappings: DataFrame, table: str, fields: list[str
     return rows.mapInArrow(run, schema)
 
 
-def flat_tables(df: DataFrame, repeated: set[str], *, record: str = "raw_id", payload: str = "payload") -> DataFrame:
-    """Every record of every document: (record, table, label, parent_label, columns, reason).
+def flat_tables(
+    df: DataFrame, repeated: set[str], wanted: set[tuple[str, str]] | None = None, write: Callable[[object], str | None] = as_text, *, record: str = "raw_id", payload: str = "payload"
+) -> DataFrame:
+    """Every record of every document: (record, table, label, parent_table, parent_label, columns, reason).
 
     A label is written ``0.2.1``; that of the document itself is empty. A document without records has one row with
-    the reason. Filter by ``table`` for one flat table; (record, parent_label) of a row is (record, label) of its parent.
+    the reason. Filter by ``table`` for one flat table; (record, parent_table, parent_label) of a row is (record, table,
+    label) of its parent. ``wanted`` (table, column) pairs limit the walk to themselves; their values are kept whole and
+    written by ``write``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shredder = Shredder(repeated)
+        shredder = Shredder(repeated, wanted)
         for b in _slices(batches, 128):
-            ids, names, labels, parents, columns, reasons = [], [], [], [], [], []
+            ids, names, labels, above, parents, columns, reasons = [], [], [], [], [], [], []
             for rid, text in zip(b["record"].to_pylist(), b["payload"].to_pylist()):
                 doc, reason = read_json(text)
                 tables = {}
@@ -335,14 +352,15 @@ def flat_tables(df: DataFrame, repeated: set[str], *, record: str = "raw_id", pa
                 if reason:
                     tables = {None: [((), {})]}
                 for name, records in tables.items():
+                    above += [None] if reason else shredder.parents[name]
                     for label, own in records:
                         ids.append(rid)
                         names.append(name)
                         labels.append(".".join(map(str, label)))
                         parents.append(".".join(map(str, label[:-1])) if label else None)
-                        columns.append([(_sound(k), _sound(as_text(v))) for k, v in own.items()])
+                        columns.append([(_sound(k), _sound(write(v))) for k, v in own.items()])
                         reasons.append(reason)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column(names), pa.array(labels), pa.array(parents, pa.string()), pa.array(columns, pa.map_(pa.string(), pa.string())), pa.array(reasons, pa.string())], names=["record", "table", "label", "parent_label", "columns", "reason"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column(names), pa.array(labels), column(above), pa.array(parents, pa.string()), pa.array(columns, pa.map_(pa.string(), pa.string())), pa.array(reasons, pa.string())], names=["record", "table", "label", "parent_table", "parent_label", "columns", "reason"])
 
     rows = df.select(F.col(record).cast("bigint").alias("record"), F.col(payload).cast("string").alias("payload"))
-    return rows.mapInArrow(run, "record bigint, table string, label string, parent_label string, columns map<string,string>, reason string")
+    return rows.mapInArrow(run, "record bigint, table string, label string, parent_table string, parent_label string, columns map<string,string>, reason string")

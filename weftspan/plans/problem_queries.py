@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspan.operators.heavy_keys import heavy_keys, key_stats
 from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies
-from weftspan.operators.nested import flat_tables, load_mappings, map_records
+from weftspan.operators.nested import flat_tables, load_mappings, map_records, value_text
 from weftspan.operators.references import clean_key, find_orphans
 from weftspan.operators.timestamps import normalise_timestamps, unix_instant_us
 from weftspan.runtime import cut, epoch_us, table
@@ -133,11 +133,23 @@ def _p5_flat(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_attributes(spark: SparkSession, base: str) -> DataFrame:
-    """The attribute table of spans, each row with its label and that of its span."""
-    rows = _p5_flat(spark, base).where(F.col("table") == f"{SPANS}.attributes")
-    value = F.coalesce(F.try_element_at("columns", F.lit("value.Value.StringValue")), F.try_element_at("columns", F.lit("value.Value.stringValue")), F.try_element_at("columns", F.lit("value.Value.IntValue")))
-    key = F.coalesce(F.try_element_at("columns", F.lit("key")), F.try_element_at("columns", F.lit("key.kind_key")))
-    return rows.select(F.col("record").alias("raw_id"), "label", "parent_label", key.alias("key"), value.alias("value"))
+    """The attribute table of spans, each row with its label and that of its span.
+
+    ``value`` is the string, number or truth value that lies alone under ``value``, else (lists, several values) the JSON
+    text of all that lies there; the same holds for ``key``. The value of an attribute that is no object is itself.
+    """
+    attributes = f"{SPANS}.attributes"
+    wanted = {(attributes, "key"), (attributes, "value")}
+    rows = flat_tables(table(spark, base, "otel_records"), load_mappings(table(spark, base, "field_mappings"))[1], wanted, value_text).where(F.col("table") == attributes)
+    value = F.coalesce(F.try_element_at("columns", F.lit("value")), F.try_element_at("columns", F.lit("")))
+    return rows.select(F.col("record").alias("raw_id"), "label", "parent_label", F.try_element_at("columns", F.lit("key")).alias("key"), value.alias("value"))
+
+
+def p5_rows(spark: SparkSession, base: str) -> DataFrame:
+    """Every row of every flat table (resources, scopes, spans, attributes of any of them, array values and the rest) with the link
+    to its parent (raw_id, parent_table, parent_label); a document without records is one row with the reason."""
+    columns = F.array_sort(F.map_entries("columns"))
+    return _p5_flat(spark, base).select(F.col("record").alias("raw_id"), F.col("table").alias("table_path"), "label", "parent_table", "parent_label", columns.alias("columns"), "reason")
 
 
 def p5_tables(spark: SparkSession, base: str) -> DataFrame:
@@ -146,7 +158,7 @@ def p5_tables(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy(F.coalesce("table", F.concat(F.lit("no records: "), "reason")).alias("table_path")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(F.regexp_extract("label", r"(\d+)$", 1).isin("0", ""), 1).otherwise(0)).alias("n_parents"), F.max(F.size("columns")).alias("most_columns"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_spans": p5_spans, "p5_attributes": p5_attributes, "p5_tables": p5_tables}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_node_units": p1_node_units, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_job_stats": p3_job_stats, "p3_workflow_stats": p3_workflow_stats, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_spans": p5_spans, "p5_attributes": p5_attributes, "p5_rows": p5_rows, "p5_tables": p5_tables}
 
 _P1_UNIT = """case when abs(start_timestamp) < 100000000000 then 'unix_s' when abs(start_timestamp) < 100000000000000 then 'unix_ms'
   when abs(start_timestamp) < 100000000000000000 then 'unix_us' else 'unix_ns' end"""
