@@ -51,3 +51,28 @@ def test_large_traces_come_in_parts(spark, tmp_path):
     q.stop()
     parts = [r for r in spark.table("parts").collect() if r.job_id == "j"]
     assert sum(r.n_spans for r in parts) == 50
+
+
+def test_a_trace_in_parts_is_modelled_whole(spark, tmp_path):
+    # a chain under one root; parts end between any span and its parent, and a later file holds earlier arrivals
+    kinds = "RABCDEFG"
+    job = [row(i, "j", k, f"e{i}", f"e{i - 1}" if i else None, 3 - i // 4) for i, k in enumerate(kinds)]
+    src = stream(spark, tmp_path / "in", [*FIRST, *job[:2]], job[2:4], job[4:], SECOND, THIRD)
+    grown = {}
+    for most in (2, 3, 100):
+        q = grow_model(idle_traces(src, most=most), str(tmp_path / f"model{most}"), str(tmp_path / f"c{most}"))
+        q.processAllAvailable()
+        q.stop()
+        grown[most] = {(r.event_type, r.direction, tuple((x["eventType"], x["count"]) for x in r.event_set)) for r in read_grown(spark, str(tmp_path / f"model{most}")).collect()}
+    links = {(a, "out", ((b, 1),)) for b, a in zip(kinds, kinds[1:])}
+    assert links <= grown[100] and grown[2] == grown[3] == grown[100]
+
+
+def test_the_last_part_is_closed_but_not_complete(spark, tmp_path):
+    rows = [row(i, "j", "A", f"e{i}", None, 0) for i in range(50)]
+    q = idle_traces(stream(spark, tmp_path / "in", rows, SECOND, THIRD), most=20).writeStream.format("memory").queryName("closed_parts").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    parts = sorted((r for r in spark.table("closed_parts").collect() if r.job_id == "j"), key=lambda r: r.part)
+    assert [r.part for r in parts] == list(range(len(parts))) and len({r.opened for r in parts}) == 1
+    assert not any(r.complete for r in parts) and [r.closed for r in parts] == [False] * (len(parts) - 1) + [True]
