@@ -76,6 +76,25 @@ def test_offsets_point_into_the_cell():
     assert L.spans_in(machine, " ".join(LONG.split()[:11])) == []
 
 
+@pytest.mark.parametrize("odd", ["ΟΔΟΣ", "각", "ΣΑΣ'Σ", "ｶﾞ", "İΣ", "e\u0301"])
+def test_one_odd_character_does_not_cost_the_offsets(odd):
+    machine = L.Automaton([(1, LONG)])
+    for text, body in ((f"{odd} x. {LONG}! {odd}", LONG), (f"{odd} {LONG.replace('seven', 'sev\u00aden')}, z", LONG.replace("seven", "sev\u00aden"))):
+        ((item, a, z, n),) = L.spans_in(machine, text)
+        assert (item, n, text[a:z]) == (1, 14, body)
+    ((_, a, z, _),) = L.spans_in(L.Automaton([(1, f"{odd} end {odd}")]), f"so {odd} end {odd}.")
+    assert (a, z) == (3, 8 + 2 * len(odd))
+
+
+def test_words_of_any_characters_have_offsets():
+    rnd = random.Random(6)
+    pool = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs", "Lo")] + [chr(c) for c in (*range(0x1100, 0x1200), *range(0x900, 0xDFF), 0x3A3, 0x3C3, 0x130, 0xAC00, 0xAC01)]
+    for _ in range(3000):
+        text = "".join(rnd.choice(rnd.choice((pool, "aΣσ '.é\u0301ᄀ\u1161\u11a8ﾞｶ\u09c7\u09be\u00ad"))) for _ in range(rnd.randrange(1, 25)))
+        spans = L.word_spans(text)
+        assert len(spans) == len(L.words_of(text)) and all(0 <= a < z <= len(text) for a, z in spans)
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, LONG, "a")], ITEMS)
     assert L.find_leaks(docs, items).count() == 0

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -73,32 +74,45 @@ class Automaton:
                 yield end, n, ids
 
 
+@cache
+def _seconds() -> frozenset[str]:
+    """Characters without combining class that compose with what is before them."""
+    pairs = (unicodedata.decomposition(chr(c)) for c in range(0x110000))
+    found = {chr(int(p.split()[1], 16)) for p in pairs if " " in p and p[0] != "<"}
+    return frozenset(found) | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+def _joins(c: str) -> bool:
+    """Whether normalising may join the character to what is before it."""
+    first = unicodedata.normalize("NFKD", c)[0]
+    return unicodedata.combining(first) > 0 or first in _seconds()
+
+
 def word_spans(text: str) -> list[tuple[int, int]]:
     """Offsets in ``text`` of each of its words, in order."""
-    source: list[int] = []  # for each normalised character, the offset it came from
-    parts, at = [], 0
+    parts: list[str] = []
+    starts: list[int] = []  # for each normalised character, where what it came from starts and ends
+    stops: list[int] = []
     for m in _UNIT.finditer(text):
-        unit = m[0]
+        unit, at = m[0], m.start()
         if unit.isascii():
-            parts.append(unit.lower())
-            source.extend(range(m.start(), m.end()))
+            parts.append(unit)
+            starts.extend(range(at, m.end()))
+            stops.extend(range(at + 1, m.end() + 1))
         else:
-            for i in range(len(unit)):
-                # characters that combine with what follows are taken with it
-                if i and unicodedata.combining(unit[i]):
-                    continue
-                j = i + 1
-                while j < len(unit) and unicodedata.combining(unit[j]):
-                    j += 1
-                norm = unicodedata.normalize("NFKC", unit[i:j]).lower()
-                for k, c in enumerate(norm):
-                    if ord(c) not in _DROPPED:
-                        parts.append(c)
-                        source.append(min(m.start() + i + k, m.start() + j - 1))
+            # characters that combine with what precedes are taken with it, so each piece is normalised as in the whole text
+            begins = [0, *(i for i in range(1, len(unit)) if not _joins(unit[i])), len(unit)]
+            for i, j in zip(begins, begins[1:]):
+                norm = unicodedata.normalize("NFKC", unit[i:j])
+                parts.append(norm)
+                single = len(norm) == j - i
+                starts.extend(at + i + (k if single else 0) for k in range(len(norm)))
+                stops.extend(at + (i + k + 1 if single else j) for k in range(len(norm)))
     flat = "".join(parts)
-    if len(flat) != len(source) or flat != normalise(text):
-        return []  # a composition across units: the caller falls back to the whole text
-    return [(source[m.start()], source[m.end() - 1] + 1) for m in _WORD.finditer(flat)]
+    low = flat.lower()  # in one, for a final sigma goes by what is around it
+    source = range(len(flat)) if len(low) == len(flat) else [i for i, c in enumerate(flat) for _ in c.lower()]
+    kept = [i for i, c in zip(source, low) if ord(c) not in _DROPPED]
+    return [(starts[kept[m.start()]], stops[kept[m.end() - 1]]) for m in _WORD.finditer(low.translate(_DROPPED))]
 
 
 _machines: dict[int, Automaton] = {}
@@ -157,8 +171,7 @@ def spans_in(machine: Automaton, text: str) -> list[tuple[int, int, int, int]]:
     if not runs:
         return []
     spans = word_spans(text)
-    whole = len(spans) != len(words)
-    return [(i, 0 if whole else spans[a][0], len(text) if whole else spans[z][1], z - a + 1) for i, mine in sorted(runs.items()) for a, z in mine]
+    return [(i, spans[a][0], spans[z][1], z - a + 1) for i, mine in sorted(runs.items()) for a, z in mine]
 
 
 def _spans(items: list[tuple[int, str]], words: int):
