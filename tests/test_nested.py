@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from paths import MIDDLE
 
+from weftspan.operators import nested
 from weftspan.operators.nested import as_text, flat_tables, map_records, read_json, value_text
 from weftspan.plans.problem_queries import SPANS, p5_attributes, p5_found, p5_rows, p5_spans
 
@@ -157,3 +158,29 @@ def test_value_text():
     read = lambda text: value_text(read_json('{"v": %s}' % text)[0]["v"])
     assert [read(x) for x in ('"s"', '{"Value": {"BoolValue": false}}', '{"d": 1.50}', '{"a": null, "b": 5}', '{"Value": {"StringValue": null}}', "null")] == ["s", "false", "1.50", "5", None, None]
     assert [read(x) for x in ('{"Value": {"ArrayValue": {"values": [1, "é"]}}}', '{"a": 1, "b": {"c": 2.0}}', "[]", '{"Value": {}}', "{}")] == ['{"Value":{"ArrayValue":{"values":[1,"é"]}}}', '{"a":1,"b":{"c":2.0}}', "[]", '{"Value":{}}', "{}"]
+
+
+@pytest.mark.parametrize("depth", [900, 3000, 40_000])
+def test_deep_documents(spark, depth):
+    deep = '{"a":[' * depth + "1.50" + "]}" * depth
+    doc = '{"other":%s,"resource_spans":[{"zone":%s,"scope_spans":{"spans":[{"name":"n","kids":[%s]}]}}]}' % (deep, deep, deep)
+    df = spark.createDataFrame([(1, 1, doc), (2, 1, doc[:-2]), (3, 1, doc + "]"), (4, 1, doc.replace("1.50", "NaN", 1))], "raw_id bigint, mapping_id int, payload string")
+    got = map_records(df, spark.createDataFrame(ROWS, MAPPING), SPANS, ["event_type", "kids"]).collect()
+    assert [(r.record, list(r.label), r.event_type, r.kids) for r in got] == [(1, [0, 0, 0], f"n_{deep}", [deep])]
+
+
+def test_deep_flat_tables(spark):
+    df = spark.createDataFrame([(1, '{"rows":' + '[{"x":1,"in":' * 1200 + "null" + "}]" * 1200 + "}"), (2, '{"a":' * 1200 + '[{"x":2}]' + "}" * 1200)], "raw_id bigint, payload string")
+    rows = flat_tables(df, set()).collect()
+    assert not any(r.reason for r in rows) and sum(r.columns.get("x") == "1" for r in rows) == 1200 and sum(r.columns.get("x") == "2" for r in rows) == 1
+
+
+def test_the_decoder_for_deep_documents_reads_as_the_other():
+    good = ['{}', ' [ ] ', '[1, -2.50, 1e5, "a\\n\x01\\ud800", true, false, null, {"a": {}, "b": [[], {"a": 1, "a": 2}]}]', '{"a" : "x" , "" : [ 1 ]}', '"s"', " 12 ", "[[1],[2,[3]]]"]
+    for text in good:
+        assert nested._decode_deep(text) == nested._decoder.decode(text)
+    for text in ["", " ", "[", "[1", "[1,", "[1,]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "[1}", '{"a":1]', "[1] 2", "[NaN]", "[1 2]", "]", '["a', "[-]", "nul", '{"a":1 "b":2}']:
+        with pytest.raises(ValueError):
+            nested._decoder.decode(text)
+        with pytest.raises(ValueError):
+            nested._decode_deep(text)

@@ -18,14 +18,17 @@ array element that is no object  a record with the one column ``""``; it has no
 value that is no string          its JSON text; objects and arrays compactly
 part without a value             the whole mapped value is null
 surrogate code points alone      U+FFFD
+documents of any depth           as any other
 mapping_id null or unknown       no fields
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -47,13 +50,72 @@ def _no_constant(text: str):
 _decoder = json.JSONDecoder(strict=False, parse_float=Number, parse_constant=_no_constant)
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def _decode_deep(text: str) -> object:
+    """What the decoder gives, for any depth: open arrays and objects are on a stack of their own."""
+    blanks = lambda i: _BLANKS.match(text, i).end()
+    top: list = []
+    stack: list[tuple[list | dict, str | None]] = [(top, None)]  # with the key under which an object's next value goes
+    i = blanks(0)
+    while True:
+        # a value
+        inner, key = stack[-1]
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            v = {} if c == "{" else []
+            end = blanks(i + 1)
+            if done := text[end : end + 1] == ("}" if c == "{" else "]"):
+                end += 1
+        else:
+            try:
+                v, end = _decoder.raw_decode(text, i) if c else (None, -1)
+            except json.JSONDecodeError:
+                end = -1
+            if end < 0:
+                raise ValueError(f"no value at {i}")
+            done = True
+        if isinstance(inner, dict):
+            inner[key] = v
+        else:
+            inner.append(v)
+        i = blanks(end)
+        if not done:
+            stack.append((v, None))
+        else:
+            # what follows a value: ends of what holds it, or a comma
+            while len(stack) > 1 and text[i : i + 1] == ("}" if isinstance(stack[-1][0], dict) else "]"):
+                stack.pop()
+                i = blanks(i + 1)
+            if len(stack) == 1:
+                if i != len(text):
+                    raise ValueError(f"more text at {i}")
+                return top[0]
+            if text[i : i + 1] != ",":
+                raise ValueError(f"no comma at {i}")
+            i = blanks(i + 1)
+        if isinstance(stack[-1][0], dict):
+            if text[i : i + 1] != '"':
+                raise ValueError(f"no key at {i}")
+            name, i = scanstring(text, i + 1, False)
+            i = blanks(i)
+            if text[i : i + 1] != ":":
+                raise ValueError(f"no colon at {i}")
+            i = blanks(i + 1)
+            stack[-1] = (stack[-1][0], name)
+
+
 def read_json(text: str | None) -> tuple[object, str | None]:
     """The document, and why there is none."""
     if text is None:
         return None, "null"
     try:
-        doc = _decoder.decode(text)
-    except (ValueError, RecursionError):
+        try:
+            doc = _decoder.decode(text)
+        except RecursionError:
+            doc = _decode_deep(text)
+    except ValueError:
         return None, "unreadable"
     return (doc, None) if isinstance(doc, dict) else (None, "no document")
 
@@ -69,14 +131,30 @@ def as_text(v: object) -> str | None:
 
 
 def _dump(v: object) -> str:
-    """Compact JSON text; numbers stay as they were written."""
-    if isinstance(v, Number):
-        return str(v)
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(x)}" for k, x in v.items()) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(_dump, v)) + "]"
-    return json.dumps(v, ensure_ascii=False)
+    """Compact JSON text at any depth; numbers stay as they were written."""
+    out, ends, todo = [], [], [iter([(v, "")])]
+    while todo:
+        got = next(todo[-1], None)
+        if got is None:
+            todo.pop()
+            if todo:
+                out.append(ends.pop())
+            continue
+        x, before = got
+        out.append(before)
+        if isinstance(x, Number):
+            out.append(str(x))
+        elif isinstance(x, dict):
+            out.append("{")
+            ends.append("}")
+            todo.append(iter([(e, f"{',' if i else ''}{json.dumps(k, ensure_ascii=False)}:") for i, (k, e) in enumerate(x.items())]))
+        elif isinstance(x, list):
+            out.append("[")
+            ends.append("]")
+            todo.append(iter([(e, "," if i else "") for i, e in enumerate(x)]))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def value_text(v: object) -> str | None:
@@ -161,10 +239,16 @@ class Shredder:
         self.parents: dict[str, list[str | None]] = {"": [None]}  # the table of each record's parent
         top: dict = {}
         self.tables[""] = [((), top)]
-        self._object(doc, "", "", "", (), top, self.trie)
+        walks = [self._object(doc, "", "", "", (), top, self.trie)]
+        while walks:  # a stack of their own, for documents of any depth
+            if (inner := next(walks[-1], None)) is None:
+                walks.pop()
+            else:
+                walks.append(inner)
         return self.tables
 
-    def _object(self, obj: dict, own_table: str, path: str, prefix: str, label: tuple, columns: dict, trie: dict | None) -> None:
+    def _object(self, obj: dict, own_table: str, path: str, prefix: str, label: tuple, columns: dict, trie: dict | None) -> Iterator[Iterator]:
+        """Yields the walks of the objects within, each to be done before this one goes on."""
         for name, v in obj.items():
             sub = None
             if trie is not None:
@@ -180,7 +264,7 @@ class Shredder:
                         continue
                 if isinstance(v, dict):
                     if here not in self.repeated:
-                        self._object(v, own_table, here, f"{prefix}{name}.", label, columns, sub)
+                        yield self._object(v, own_table, here, f"{prefix}{name}.", label, columns, sub)
                         continue
                     v = [v]
                 table = self.tables.setdefault(here, [])
@@ -189,7 +273,7 @@ class Shredder:
                     own: dict = {}
                     table.append(((*label, i), own))
                     if isinstance(e, dict):
-                        self._object(e, here, here, "", (*label, i), own, sub)
+                        yield self._object(e, here, here, "", (*label, i), own, sub)
                     elif isinstance(e, list):
                         own[""] = _dump(e)
                     else:
@@ -308,10 +392,7 @@ def map_records(df: DataFrame, mappings: DataFrame, table: str, fields: list[str
                 doc = read_json(text)[0] if m else None
                 if doc is None:
                     continue
-                try:
-                    tables = shredder.shred(doc)
-                except RecursionError:
-                    continue
+                tables = shredder.shred(doc)
                 evaluator.start(tables)
                 for label, _ in tables.get(table, ()):
                     ids.append(rid)
@@ -343,14 +424,7 @@ def flat_tables(
             ids, names, labels, above, parents, columns, reasons = [], [], [], [], [], [], []
             for rid, text in zip(b["record"].to_pylist(), b["payload"].to_pylist()):
                 doc, reason = read_json(text)
-                tables = {}
-                if doc is not None:
-                    try:
-                        tables = shredder.shred(doc)
-                    except RecursionError:
-                        reason = "unreadable"
-                if reason:
-                    tables = {None: [((), {})]}
+                tables = {None: [((), {})]} if reason else shredder.shred(doc)
                 for name, records in tables.items():
                     above += [None] if reason else shredder.parents[name]
                     for label, own in records:
