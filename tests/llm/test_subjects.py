@@ -74,3 +74,8 @@ def test_terms_and_quotes():
     q = S.Quotes([[(1, QUESTION)]])
     assert q.without("own words only") == "own words only"
     assert q.without(QUESTION) == "" and "lawalpha" not in q.without(f"{'my own text about something else entirely ' * 3} {QUESTION}")
+
+
+def test_no_term_within_the_shares_is_dropped(spark):
+    cells = spark.range(3).selectExpr("id as doc_id", "array(transform(sequence(1, 50010), i -> concat('t', i)), array('only' || id)) as cells")
+    assert set(S.vocabulary(cells)) == {f"t{i}" for i in range(1, 50_011)}

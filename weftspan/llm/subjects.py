@@ -35,8 +35,9 @@ from weftspan.llm import leakage
 from weftspan.llm.notebooks import read_cells
 from weftspan.runtime import cut
 
-#: Vocabulary: terms that this share of notebooks hold at least and at most; of these the most frequent, as the model's size is bounded.
-LEAST_SHARE, MOST_SHARE, MAX_TERMS, LEAST_DOCS = 0.0005, 0.4, 50_000, 3
+#: Vocabulary: terms that this share of notebooks hold at least and at most. The first bounds the model's size too: a corpus has no
+#: more such terms than the mean of a notebook's distinct terms over the share, whatever the number of notebooks.
+LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0005, 0.4, 3
 BACKGROUND, PASSES, INNER, ALPHA, ETA = 4, 4, 8, 0.05, 0.01
 #: Divergence (nats) of a term's subjects from all terms' at which it is kept for the second model.
 DIVERGENCE = 0.4
@@ -135,12 +136,12 @@ def cell_terms(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, cells array<array<string>>")
 
 
-def vocabulary(cells: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, max_terms: int = MAX_TERMS, least_docs: int = LEAST_DOCS) -> dict[str, int]:
+def vocabulary(cells: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> dict[str, int]:
     """Terms by their document frequency over all notebooks, which is counted exactly."""
     n = cells.where("size(cells) > 0").count()
     counted = cells.select(F.explode(F.array_distinct(F.flatten("cells"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     kept = counted.where((F.col("n") >= max(least_docs, least_share * n)) & (F.col("n") <= max(least_docs, most_share * n)))
-    rows = kept.orderBy(F.desc("n"), "term").limit(max_terms).collect()
+    rows = sorted(kept.collect(), key=lambda r: (-r.n, r.term))  # sorting by Spark would count everything twice, to find its ranges
     return {r.term: i for i, r in enumerate(rows)}
 
 
