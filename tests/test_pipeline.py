@@ -132,3 +132,29 @@ def test_simulated_diagram_comes_back(spark, tmp_path):
     (tmp_path / "d.puml").write_text(text)
     assert diagram_to_span_files(spark, str(tmp_path / "d.puml"), str(tmp_path / "s"), "w", 5) == spark.read.json(str(tmp_path / "s")).count() > 10
     assert dot(infer({multiset("AB")})).count("->") == 2
+
+
+def test_workflows_without_a_diagram_are_named(spark, tmp_path, monkeypatch, capsys):
+    def diagrams_of(seqs, known=None):
+        rows = [("fine", "@startuml\n@enduml", None), ("deep", None, "RecursionError: too deep"), (None, None, "ValueError: odd")]
+        return spark.createDataFrame(rows, "job_name string, puml string, error string"), None
+
+    e = {"jobId": "j", "eventId": "e", "timestamp": "2024-01-01T00:00:00.000000Z", "applicationName": "a", "jobName": "n", "eventType": "T"}
+    (tmp_path / "one.json").write_text(json.dumps([e]))
+    argv = ["-o", str(tmp_path / "o"), "pv2puml", str(tmp_path / "one.json")]
+    assert cli.main(argv) == 0 and capsys.readouterr().err == ""
+    monkeypatch.setattr("weftspan.pipeline.diagrams_of", diagrams_of)
+    assert cli.main(argv) == 1
+    said = capsys.readouterr()
+    assert said.out.split() == [str(tmp_path / "o" / "fine.puml")]
+    assert said.err.splitlines() == ["pv2puml: no diagram of unnamed: ValueError: odd", "pv2puml: no diagram of deep: RecursionError: too deep"]
+
+
+def test_rejected_records_are_counted(spark, project, capsys):
+    tmp, conf = project
+    bad = [span("t9", "r", None, 1, 2, "root"), span("t9", "a", "r", 1, 2, "first")]
+    for b in bad:
+        del b["end"]
+    (tmp / "in" / "d.json").write_text(json.dumps(document(bad)))
+    run(spark, "-o", tmp / "p", "spans2pv", "-c", conf)
+    assert "spans2pv: 2 records rejected: without end_timestamp" in capsys.readouterr().err.splitlines()

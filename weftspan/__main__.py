@@ -47,6 +47,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         known = files.read_models(spark, args.input_puml_models) if args.input_puml_models else None
         return pipeline.pv_to_diagrams(pv, args.output_dir, known, args.output_puml_models, args.job_name)
     out = pipeline.traces_to_pv(spark, cfg.load(args.config), not args.no_ingest, args.unique_graphs)
+    for r in out.rejected.groupBy("reason").count().orderBy("reason").collect():
+        print(f"{args.command}: {r['count']} records rejected: {r.reason}", file=sys.stderr)
     if args.command == "spans2pv":
         return [f"{files.save_sequences(out.pv, args.output_dir, cfg.pv_mapping(args.mapping_config))} sequences"] if args.save_events else [f"{out.pv.count()} events"]
     known = files.read_models(spark, args.input_puml_models) if args.input_puml_models else None
@@ -57,8 +59,12 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("weftspan").getOrCreate()
     try:
-        print(*run(spark, args), sep="\n")
-        return 0
+        out = run(spark, args)
+        print(*out, sep="\n")
+        failed = getattr(out, "failed", [])
+        for name, error in failed:
+            print(f"{args.command}: no diagram of {name or 'unnamed'}: {error}", file=sys.stderr)
+        return 1 if failed else 0
     except (OSError, TypeError, ValueError) as e:
         if args.debug:
             raise

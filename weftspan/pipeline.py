@@ -24,6 +24,12 @@ class Sequenced:
     rejected: DataFrame
 
 
+class Written(list[str]):
+    """Paths of what was written; ``failed`` has (job name, error) of the workflows without a diagram."""
+
+    failed: list[tuple[str | None, str]]
+
+
 def traces_to_pv(spark: SparkSession, config: Config, ingest: bool = True, unique: bool = False, strict: bool = False) -> Sequenced:
     """PV events of the configured source. Without ``ingest``, spans come from the store and no window is known."""
     rejected = spark.createDataFrame([], "record string, reason string")
@@ -49,7 +55,7 @@ def traces_to_pv(spark: SparkSession, config: Config, ingest: bool = True, uniqu
     return Sequenced(cut(pv), spans, rejected)
 
 
-def pv_to_diagrams(pv: DataFrame, folder: str, known: DataFrame | None = None, save_models: bool = False, job_name: str | None = None) -> list[str]:
+def pv_to_diagrams(pv: DataFrame, folder: str, known: DataFrame | None = None, save_models: bool = False, job_name: str | None = None) -> Written:
     """Write a diagram per workflow, and the models if wanted. With ``job_name`` all sequences are one workflow of that name."""
     Path(folder).mkdir(exist_ok=True)
     seqs = es.sequences_of(pv)
@@ -58,7 +64,9 @@ def pv_to_diagrams(pv: DataFrame, folder: str, known: DataFrame | None = None, s
     if job_name:
         seqs = seqs.withColumn("name", F.lit(job_name))
     drawn, rows = diagrams_of(cut(seqs), known)
-    out = files.save_diagrams(drawn, folder)
+    drawn = cut(drawn)
+    out = Written(files.save_diagrams(drawn, folder))
+    out.failed = [(r.job_name, r.error) for r in drawn.where("puml is null").orderBy("job_name").toLocalIterator()]
     if save_models:
         out += files.save_models(rows, folder)
     return out
