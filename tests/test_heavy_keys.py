@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from weftspan.operators.heavy_keys import chunk_states, heavy_keys, key_offsets, key_stats
+from weftspan.operators.heavy_keys import _mark, chunk_states, heavy_keys, key_offsets, key_states, key_stats, number_rows, numbered_runs
 
 SCHEMA = "id bigint, key string, value string, t bigint, part int"
 
@@ -45,26 +45,50 @@ def test_small_batches_carry_open_chunks_over(spark, rows):
     assert got == want(rows)
 
 
-def test_hot_key_is_spread_and_chunks_are_bounded(spark, rows):
+@pytest.fixture(scope="module")
+def runs(spark, rows):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # these rows would fit one partition
     try:
-        states = chunk_states(spark.createDataFrame(rows, SCHEMA), "key", F.col("value"), F.col("t"), "id", 100).collect()
+        df = spark.createDataFrame(rows, SCHEMA)
+        yield numbered_runs(df.select(_mark(F.col("key")).alias("key"), _mark(F.col("value")).alias("value"), F.col("id").alias("tie"), F.col("t").alias("time")), True)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert max(s.n for s in states) <= 100 and len({s.part for s in states if s.key == "vhot"}) > 1
 
 
-def test_offsets(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    parts = key_offsets(df, ["key", "value"]).where("key_field = 'key' and key = 'hot'").orderBy("part").collect()
-    total = want(rows)["hot"][0]
-    seen = 0
+def test_offsets_are_prefix_sums(runs, rows):
+    parts = key_offsets(runs).where("key = 'vhot'").orderBy("part").collect()
+    total, seen = want(rows)["hot"][0], 0
+    assert len(parts) > 1
     for p in parts:
         assert p.before == seen and p.key_rows == total
         seen += p.n
     assert seen == total
 
 
+def test_numbers_are_exact_and_chunks_equal(runs, rows):
+    """Without the offsets numbers would begin again in every partition, and chunks would be of any size."""
+    numbered = number_rows(runs, key_offsets(runs))
+    for r in numbered.groupBy("key").agg(F.min("row_no").alias("a"), F.max("row_no").alias("z"), F.count_distinct("row_no").alias("d"), F.count("*").alias("n")).collect():
+        assert (r.a, r.z, r.d) == (0, r.n - 1, r.n)
+    order = [r.value for r in numbered.where("key = 'vhot'").orderBy("row_no").collect()]
+    assert order == sorted(order)
+    states = chunk_states(numbered, 100).where("key = 'vhot'")
+    assert states.select("part").distinct().count() > 1
+    sizes = [r.n for r in states.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy("chunk").collect()]
+    assert set(sizes[:-1]) == {100} and sum(sizes) == want(rows)["hot"][0]
+
+
+def test_light_keys_need_no_offsets(runs, rows):
+    none = number_rows(runs, key_offsets(runs), 10**6)
+    assert none.where("row_no <> number").count() == 0
+
+
+def test_sizes_without_an_order(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for chunk in (1, 50, 10**6):
+        assert {r.key: r.n for r in key_states(df, F.col("key"), chunk_rows=chunk).collect()} == {("n" if k is None else f"v{k}"): v[0] for k, v in want(rows).items()}
+
+
 def test_heavy_and_empty(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r.key_field, r.heavy_key, r.n_rows) for r in heavy_keys(df, ["key"], 0.3).collect()}

@@ -1,13 +1,17 @@
 """Per-key results when a few keys hold most rows: exact offset chunking.
 
-:func:`key_offsets` counts each key per input partition (map-side combined) and prefix-sums the counts over the
-partitions, which gives every (key, partition) its exact first row number and every key its exact size.
+One chain, :func:`key_states`, gives every result:
 
-:func:`chunk_states` numbers rows the other way round, for results that need an order within the key: rows are
-range-partitioned and sorted by (key, value, tie), so that a hot key covers as many partitions as it needs, and every
-task numbers its rows, cuts the run of a key into chunks of ``chunk_rows`` rows and reduces each chunk to one state.
-:func:`merge_states` prefix-sums the states of a key into exact row offsets and merges neighbours at their boundaries.
-A key of a third of all rows costs no task more than its share; only states meet by key.
+1. Rows are laid out in partitions: as they come, or, for results that need an order within the key, range-partitioned
+   and sorted by (key, value, tie). Either way a hot key covers as many partitions as it needs. Each partition is sorted
+   by key, and its rows are numbered within the runs of their keys (:func:`_number`).
+2. Rows are counted per key and partition, and the counts are prefix-summed over the partitions (:func:`key_offsets`).
+3. Offset and number within the run give each row of a key its exact number.
+4. Numbers are cut into equal-sized chunks of ``chunk_rows`` rows, each of which is reduced to a state.
+5. Neighbouring states are merged at their boundaries, first within partitions, then over them (:func:`merge_states`).
+
+A key of a third of all rows costs no task more than its share. Only keys of more than ``chunk_rows`` rows need offsets:
+they are at most one in ``chunk_rows`` rows.
 
 Defined results
 ---------------
@@ -21,6 +25,7 @@ ties          rows equal in key and value are split by the tie column, or anywhe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspan.runtime import cut, join_small
+
 CHUNK_ROWS = 50_000
-_NONE_LOW, _NONE_HIGH = -(2**63), 2**63 - 1
-_STATE = "key string, part int, chunk bigint, n bigint, n_values bigint, first_value string, last_value string, low bigint, high bigint"
 
 
 def _mark(c: Column) -> Column:
@@ -43,96 +48,115 @@ def _unmark(c: Column) -> Column:
     return F.when(c.startswith("v"), F.substring(c, 2, 2**31 - 1))
 
 
-def key_offsets(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(key_field, key, part, n, before, key_rows): rows of each key in each input partition, and of it in earlier ones."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(k).cast("string").alias("key")) for k in keys]))
-    counts = df.select(pairs.alias("p"), F.spark_partition_id().alias("part")).groupBy("p.key_field", "p.key", "part").agg(F.count(F.lit(1)).alias("n"))
-    by_key = Window.partitionBy("key_field", "key")
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("key_rows", F.sum("n").over(by_key))
-
-
-def heavy_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """(key_field, heavy_key, n_rows): values of each column that at least ``share`` of all rows carry; null is no value.
-
-    A key's size is the offset at which its last partition ends.
-    """
-    ends = key_offsets(df, keys).withColumn("end", F.col("before") + F.col("n"))
-    sizes = ends.groupBy("key_field", "key").agg(F.max("end").alias("n_rows"))
-    total = df.count()
-    return sizes.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total))).select("key_field", F.col("key").alias("heavy_key"), "n_rows")
-
+def _number(columns: list[str]):
+    """Adds the partition, the row's number in the run of its key, and whether its value differs from the row before it."""
 
-def _reduce(chunk_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        key, rank, chunk_state = None, 0, None  # the open key, its rows so far in this partition, the open chunk
+        key, value, held = None, None, 0  # of the last row, and the rows of its run so far
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            k, v = batch["key"], batch["value"]
-            new_key, new_value = np.ones(n, bool), np.ones(n, bool)
+            k = batch["key"]
+            opens = np.ones(n, bool)
             if n > 1:
-                new_key[1:] = pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
-                new_value[1:] = new_key[1:] | pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
-            new_key[0] = k[0].as_py() != key
-            if chunk_state is not None and not new_key[0]:
-                new_value[0] = v[0].as_py() != chunk_state[6]
+                opens[1:] = pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False)
+            opens[0] = k[0].as_py() != key
             at = np.arange(n)
-            start = np.maximum.accumulate(np.where(new_key, at, -1))
-            number = np.where(start >= 0, at - start, at + rank)
-            opens = new_key | (number % chunk_rows == 0)
-            distinct = (new_value | opens) & pc.not_equal(v, "n").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(opens)
-            bounds = cuts if cuts.size and cuts[0] == 0 else np.concatenate(([0], cuts))
-            ends = np.append(bounds[1:], n) - 1
-            time = batch["time"]
-            low = pc.fill_null(time, _NONE_HIGH).to_numpy(zero_copy_only=False)
-            high = pc.fill_null(time, _NONE_LOW).to_numpy(zero_copy_only=False)
-            rows = list(zip(
-                pc.take(k, pa.array(bounds)).to_pylist(), [part] * bounds.size, (number[bounds] // chunk_rows).tolist(), (ends - bounds + 1).tolist(),
-                np.add.reduceat(distinct.astype(np.int64), bounds).tolist(), pc.take(v, pa.array(bounds)).to_pylist(), pc.take(v, pa.array(ends)).to_pylist(),
-                np.minimum.reduceat(low, bounds).tolist(), np.maximum.reduceat(high, bounds).tolist(),
-            ))
-            if not opens[0]:  # the first piece goes on with the open chunk
-                a, b = chunk_state, rows[0]
-                rows[0] = (a[0], part, a[2], a[3] + b[3], a[4] + b[4], a[5], b[6], min(a[7], b[7]), max(a[8], b[8]))
-            elif chunk_state is not None:
-                rows.insert(0, chunk_state)
-            chunk_state, key, rank = rows[-1], k[n - 1].as_py(), int(number[-1]) + 1
-            if len(rows) > 1:
-                yield _state_batch(rows[:-1])
-        if chunk_state is not None:
-            yield _state_batch([chunk_state])
+            begin = np.maximum.accumulate(np.where(opens, at, -1))
+            number = np.where(begin >= 0, at - begin, at + held)
+            fresh = opens
+            if "value" in columns:
+                v = batch["value"]
+                fresh = opens.copy()
+                if n > 1:
+                    fresh[1:] |= pc.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False)
+                fresh[0] |= v[0].as_py() != value
+                value = v[n - 1].as_py()
+            key, held = k[n - 1].as_py(), int(number[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(number), pa.array(fresh)], names=[*columns, "part", "number", "fresh"])
 
     return run
 
 
-_STATE_ARROW = pa.schema([("key", pa.string()), ("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("n_values", pa.int64()), ("first_value", pa.string()), ("last_value", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
-
+def numbered_runs(rows: DataFrame, ordered: bool) -> DataFrame:
+    """rows: (key[, value, tie][, time]) -> those and (part, number, fresh), written to the shared folder."""
+    if ordered:
+        placed = rows.repartitionByRange("key", "value", "tie").sortWithinPartitions("key", "value").drop("tie")
+    else:
+        placed = rows.sortWithinPartitions("key")
+    schema = ", ".join(f"{c} {t}" for c, t in placed.dtypes)
+    return cut(placed.mapInArrow(_number(placed.columns), f"{schema}, part int, number bigint, fresh boolean"))
 
-def _state_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _STATE_ARROW)], schema=_STATE_ARROW)
 
-
-def chunk_states(df: DataFrame, key: str, value: Column, time: Column, tie: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row per chunk: at most ``chunk_rows`` consecutive rows of one key, in the order of ``value``."""
-    rows = df.select(_mark(F.col(key)).alias("key"), _mark(value).alias("value"), time.cast("bigint").alias("time"), (F.col(tie) if tie else F.monotonically_increasing_id()).alias("tie"))
-    placed = rows.repartitionByRange("key", "value", "tie").sortWithinPartitions("key", "value")
-    return placed.select("key", "value", "time").mapInArrow(_reduce(chunk_rows), _STATE)
+def key_offsets(runs: DataFrame) -> DataFrame:
+    """(key, part, n, before, key_rows): rows of each key in each partition, and of it in earlier ones."""
+    counts = runs.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    by_key = Window.partitionBy("key")
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("key_rows", F.sum("n").over(by_key))
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """(key, n_rows, n_values, first_time, last_time, n_chunks) from the states of all chunks."""
-    order = Window.partitionBy("key").orderBy("part", "chunk")
-    met = F.lag("last_value").over(order).eqNullSafe(F.col("first_value")) & (F.col("first_value") != "n")
-    numbered = states.withColumns({"met": met, "row_from": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    out = numbered.groupBy("key").agg(
-        F.max(F.col("row_from") + F.col("n")).alias("n_rows"), F.sum(F.col("n_values") - F.col("met").cast("int")).alias("n_values"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n_chunks"),
-    )
-    return out.select(_unmark(F.col("key")).alias("key"), "n_rows", "n_values", F.when(F.col("low") != _NONE_HIGH, F.col("low")).alias("first_time"), F.when(F.col("high") != _NONE_LOW, F.col("high")).alias("last_time"), "n_chunks")
+def number_rows(runs: DataFrame, offsets: DataFrame, least: int = 0) -> DataFrame:
+    """Add ``row_no``, exact and without gaps for keys of more than ``least`` rows, and below ``least`` for others."""
+    large = offsets.where(F.col("key_rows") > least).select("key", "part", "before")
+    return join_small(runs, large, ["key", "part"], "left").withColumn("row_no", F.col("number") + F.coalesce("before", F.lit(0)))
+
+
+def chunk_states(numbered: DataFrame, chunk_rows: int) -> DataFrame:
+    """One state per chunk, and per part where a chunk lies in several."""
+    has = numbered.columns
+    state = {"n": F.count(F.lit(1)), "row_from": F.min("row_no")}
+    if "time" in has:
+        state |= {"low": F.min("time"), "high": F.max("time")}
+    if "value" in has:
+        some = F.col("value") != "n"
+        state |= {"first_value": F.min("value"), "last_value": F.max("value"), "n_values": F.sum((F.col("fresh") & some).cast("bigint")), "opens": F.min_by("fresh", "row_no")}
+    rows = numbered.withColumn("chunk", F.floor(F.col("row_no") / F.lit(chunk_rows)).cast("bigint"))
+    out = rows.groupBy("key", "part", "chunk").agg(*[c.alias(n) for n, c in state.items()])
+    if "value" not in has:
+        return out
+    # a chunk that begins with a value of the one before holds that value too; merging counts it once
+    held = (~F.col("opens") & (F.col("first_value") != "n")).cast("bigint")
+    return out.withColumn("n_values", F.col("n_values") + held).drop("opens")
+
+
+def merge_states(states: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Merge the states of each ``by``, neighbours in ``order`` at their boundaries: a value that both hold counts once."""
+    merged = {"n": F.sum("n"), "row_from": F.min("row_from")}
+    if "low" in states.columns:
+        merged |= {"low": F.min("low"), "high": F.max("high")}
+    if "first_value" in states.columns:
+        before = F.lag("last_value").over(Window.partitionBy(*by).orderBy(order))
+        states = states.withColumn("_met", (before.eqNullSafe(F.col("first_value")) & (F.col("first_value") != "n")).cast("bigint"))
+        merged |= {"first_value": F.min("first_value"), "last_value": F.max("last_value"), "n_values": F.sum("n_values") - F.sum("_met")}
+    return states.groupBy(*by).agg(*[c.alias(n) for n, c in merged.items()])
+
+
+def key_states(df: DataFrame, key: Column, value: Column | None = None, time: Column | None = None, tie: Column | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The merged state of every key: (key, n[, low, high][, first_value, last_value, n_values])."""
+    columns = {"key": _mark(key)}
+    if value is not None:
+        columns |= {"value": _mark(value), "tie": F.monotonically_increasing_id() if tie is None else tie}
+    if time is not None:
+        columns["time"] = time.cast("bigint")
+    runs = numbered_runs(df.select(*[c.alias(n) for n, c in columns.items()]), value is not None)
+    numbered = number_rows(runs, key_offsets(runs), chunk_rows)
+    per_part = merge_states(chunk_states(numbered, chunk_rows), ["key", "part"], "chunk")
+    return merge_states(per_part, ["key"], "part")
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(key_field, heavy_key, n_rows): values of each column that at least ``share`` of all rows carry; null is no value."""
+    total = df.count()
+    found = []
+    for name in keys:
+        sizes = key_states(df, F.col(name), chunk_rows=chunk_rows).where((F.col("key") != "n") & (F.col("n") >= F.lit(share) * F.lit(total)))
+        found.append(sizes.select(F.lit(name).alias("key_field"), _unmark(F.col("key")).alias("heavy_key"), F.col("n").alias("n_rows")))
+    return reduce(DataFrame.unionAll, found)
 
 
 def key_stats(df: DataFrame, key: str, value: Column, time: Column, tie: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    return merge_states(chunk_states(df, key, value, time, tie, chunk_rows))
+    """(key, n_rows, n_values, first_time, last_time, n_chunks) of every key."""
+    out = key_states(df, F.col(key), value, time, F.col(tie) if tie else None, chunk_rows)
+    return out.select(_unmark(F.col("key")).alias("key"), F.col("n").alias("n_rows"), "n_values", F.col("low").alias("first_time"), F.col("high").alias("last_time"), F.ceil(F.col("n") / F.lit(chunk_rows)).alias("n_chunks"))
