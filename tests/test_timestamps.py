@@ -149,6 +149,29 @@ def test_mixture_learns_the_order_of_a_source(spark):
     assert chosen == ["mdy"] and posterior[0] > 0.9
 
 
+def test_posteriors_decide(spark, registry):
+    """The same rows come out otherwise without the belief in registry and sizes, and without the mixture."""
+    rows = [("ny", "02/03/2025 10:00:00", datetime(2025, 3, 2, 11)), ("ny", "1739146315", datetime(1970, 1, 21)), ("new", "03/02/2025 10:00:00 GMT", None), *[("new", "25/02/2025 10:00:00 GMT", None)] * 30]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, application_name string, t string, seen timestamp_ntz")
+
+    def run(**settings):
+        out = normalise_timestamps(df, "t", "application_name", "seen", registry, **settings).orderBy("id").limit(3).collect()
+        return [(r.ts_layout, r.ts_status, r.ts_instant_us) for r in out]
+
+    assert run() == [("mdy", "registry", at(2025, 2, 3, 15)), ("unix_s", "explicit", 1739146315 * 10**6), ("dmy", "inferred", at(2025, 2, 3, 10))]
+    loose = run(against=1.0)
+    assert loose[0][0] == "dmy" and loose[1][0] == "unix_ms"
+    assert run(rounds=0)[2][1:] == ("ambiguous", None)
+
+
+def test_second_occurrence_is_a_reading_and_belief_is_strong_at_any_size():
+    chosen, posterior = fit_mixture(["iso:00,iso@second:01,iso@utc:01", "iso:00"], [5, 10**12])
+    assert chosen == ["iso", "iso"] and posterior[0] > 0.999
+    # a layout that is one in 10**12 of its source's rows is still read as its size says
+    chosen, _ = fit_mixture(["unix_ns:00", "unix_ms:21,unix_ns:21,unix_s:20,unix_us:21"], [10**12, 1])
+    assert chosen == ["unix_ns", "unix_s"]
+
+
 def test_inferred_order_is_marked(spark, registry):
     rows = [("new", "25/02/2025 10:00:00 GMT")] * 30 + [("new", "03/02/2025 10:00:00 GMT")]
     assert read(spark, registry, rows)[-1] == (at(2025, 2, 3, 10), "inferred")
