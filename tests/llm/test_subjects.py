@@ -40,16 +40,17 @@ def made(spark):
 
 def test_made_corpus(made):
     docs, areas, items, want = made
-    model = S.fit_subjects(docs, areas, items)
+    model, indexed = S.fit_subjects(docs, areas, items)
     assert sorted(t for t in model.topics if t) == sorted(WORDS)
-    rows = [(r.doc_id, r.subject) for r in S.assign_subjects(model).collect()]
+    rows = [(r.doc_id, r.subject) for r in S.assign_subjects(model, indexed).collect()]
+    assert {(r.doc_id, r.subject) for r in S.assign_subjects(model, S.index_cells(docs, model, items)).collect()} == set(rows)
     got = set(rows)
     assert len(rows) == len(got) and len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
 
 
 def test_labels_held_out(spark):
     rows = p8_label_agreement(spark, BASE).toPandas()
-    assert rows["n_found"].sum() >= 0.85 * rows["n_labels"].sum()
+    assert rows["n_found"].sum() >= 0.9 * rows["n_labels"].sum()
     assert len(p8_topics(spark, BASE).where("subject is not null").select("subject").distinct().collect()) == 12
     found = [tuple(r) for r in p8_found(spark, BASE).collect()]
     assert len(found) == len(set(found)) > 500
@@ -57,8 +58,28 @@ def test_labels_held_out(spark):
 
 def test_empty(spark, made):
     docs, areas, items, _ = made
-    model = S.fit_subjects(docs.limit(0), areas, items)
-    assert S.assign_subjects(model).count() == 0
+    assert S.assign_subjects(*S.fit_subjects(docs.limit(0), areas, items)).count() == 0
+
+
+def test_no_subject_takes_part_in_the_free_fit(spark, made):
+    """The topics are there without any word of the subjects; mapping them is another step."""
+    docs, areas, items, _ = made
+    cells = S.cell_terms(docs, items)
+    terms = S.vocabulary(cells)
+    indexed = S.index_terms(cells, terms)
+    company = S.companies(indexed, len(terms))
+    special = np.linalg.norm(company.away(), axis=1) > S.UNLIKE
+    table = S.fit_topics(S.keep_terms(indexed, special), S.anchored_table(S.Company(company.means[special], company.n[special], company.docs[special]), 12, 3), 3)
+    tops = S.top_terms(table, [w for w, s in zip(terms, special) if s], 8)
+    assert {s for s in WORDS for t in tops if sum(w.startswith(s) for w in t) >= 6} == set(WORDS)
+    nothing = S.map_topics(tops, {s: set() for s in WORDS})
+    assert nothing == [None] * len(tops)
+
+
+def test_topics_of_several_subjects_are_mapped_to_none():
+    speaks = {"a": {"a1", "a2", "a3"}, "b": {"b1", "b2", "b3"}}
+    assert S.map_topics([{"a1": 3, "a2": 2, "x": 9}, {"a1": 3, "b1": 2, "b2": 2}, {"x": 1}, {"b1": 9}], speaks) == ["a", None, None, None]
+    assert S.subject_words([("a", "One, two"), ("b", "Two and three")], {"b": "four"}) == {"a": {"one"}, "b": {"and", "three", "four"}}
 
 
 def test_digamma_and_sums():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.llm.leakage import find_leaks, leak_spans
-from weftspan.llm.subjects import SubjectModel, assign_subjects, cell_claims, fit_subjects, top_terms
+from weftspan.llm.subjects import SubjectModel, assign_subjects, cell_claims, fit_subjects, index_cells, top_terms
 from weftspan.llm.tokens import decode_ids, encode_texts
 from weftspan.runtime import table
 
@@ -45,37 +45,46 @@ def p7_report(spark: SparkSession, base: str) -> DataFrame:
     return p7_found(spark, base).join(items, "item_id").groupBy("benchmark").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("doc_id").alias("n_documents"), F.count(F.lit(1)).alias("n_leaks"))
 
 
-def _model(spark: SparkSession, base: str) -> SubjectModel:
-    return fit_subjects(table(spark, base, "documents"), table(spark, base, "subject_areas"), table(spark, base, "eval_items"))
+_models: dict[tuple[str, str], SubjectModel] = {}
+
+
+def _model(spark: SparkSession, base: str) -> tuple[SubjectModel, DataFrame]:
+    """The fitted model and the indexed cells. A model is fitted once a session and folder; only its small tables are kept."""
+    key = (spark.sparkContext.applicationId, base)
+    docs, items = table(spark, base, "documents"), table(spark, base, "eval_items")
+    if key in _models:
+        return _models[key], index_cells(docs, _models[key], items)
+    _models[key], indexed = fit_subjects(docs, table(spark, base, "subject_areas"), items)
+    return _models[key], indexed
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    return assign_subjects(_model(spark, base)).select("doc_id", "subject")
+    return assign_subjects(*_model(spark, base)).select("doc_id", "subject")
 
 
 def p8_cells(spark: SparkSession, base: str) -> DataFrame:
     """The subject of each cell that has one, and how many of its terms that subject claims."""
-    m = _model(spark, base)
-    return cell_claims(m.indexed, m.table, m.topics).select("doc_id", F.col("cell").alias("cell_no"), "subject", F.round("weight", 3).alias("n_terms"))
+    m, indexed = _model(spark, base)
+    return cell_claims(indexed, m.table, m.topics).select("doc_id", F.col("cell").alias("cell_no"), "subject", F.round("weight", 3).alias("n_terms"))
 
 
 def p8_topics(spark: SparkSession, base: str) -> DataFrame:
     """Topics with their subjects and top terms, for inspection."""
-    m = _model(spark, base)
-    rows = [(k, s, ", ".join(words)) for k, (s, words) in enumerate(zip(m.topics, top_terms(m.table, m.terms)))]
+    m, _ = _model(spark, base)
+    rows = [(k, s, ", ".join(words)) for k, (s, words) in enumerate(zip(m.topics, top_terms(m.table, list(m.terms), 20)))]
     return spark.createDataFrame(rows, "topic int, subject string, top_terms string")
 
 
 def p8_composition(spark: SparkSession, base: str) -> DataFrame:
     """Notebooks and cells per subject and source; a notebook of several subjects counts for each."""
-    found = assign_subjects(_model(spark, base))
+    found = assign_subjects(*_model(spark, base))
     docs = table(spark, base, "documents").select("doc_id", "source")
     return docs.join(found, "doc_id", "left").groupBy("source", F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.coalesce("n_cells", F.lit(0))).alias("n_cells"))
 
 
 def p8_label_agreement(spark: SparkSession, base: str) -> DataFrame:
     """Labels of raters, which took no part in the fit, and how many of them the assignment has."""
-    found = assign_subjects(_model(spark, base)).select("doc_id", "subject", F.lit(1).alias("hit"))
+    found = assign_subjects(*_model(spark, base)).select("doc_id", "subject", F.lit(1).alias("hit"))
     labels = table(spark, base, "doc_subject_labels").select("doc_id", F.lower(F.trim("subject")).alias("subject")).where("subject is not null")
     return labels.join(found, ["doc_id", "subject"], "left").groupBy("subject").agg(F.count(F.lit(1)).alias("n_labels"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_found"))
 

@@ -3,11 +3,18 @@
 Each notebook's own cells (text and code, not outputs) become bags of terms; runs that quote an evaluation passage are
 left out, and so are cells that still paraphrase one. Latent Dirichlet allocation is fitted to all notebooks by
 variational Bayes, one distributed pass an iteration: tasks infer topic proportions of their notebooks in vectorised
-batches and emit sufficient statistics per term, which are summed by term; only the topic-term table, bounded by the
-vocabulary, meets the driver. A first model has background topics; by it, terms that notebooks of all subjects use
-alike are known and dropped, and a second one is fitted to the rest. Topics are mapped to subjects by the share of the
-words of the subjects' descriptions among their terms. The terms of each cell are then shared among topics given the
-proportions of its notebook, and a notebook is about a subject that claims at least two of its cells.
+batches and emit sufficient statistics per term, which are summed by term; only tables of terms by topics meet the driver.
+
+1. Free topics, twice as many as subjects. No subject takes part in the fit: it starts from anchor terms, those whose
+   company (the terms they occur with, in a random projection) is least explained by that of the anchors before them.
+   Terms whose company is everybody's are left out.
+2. Topics are mapped to subjects through their top terms: :data:`INSPECTED` records, for each subject, terms that were
+   read off the top of fitted topics and judged by hand; the words of the subjects' descriptions are added. A topic whose
+   top terms speak of several subjects, or of none, is mapped to none.
+3. By the topic proportions of the notebooks each term's subjects are known. Terms that notebooks of all subjects use
+   alike are dropped, and a second model, with background topics besides, is fitted to the rest and mapped in the same way.
+4. The terms of each cell are shared among topics given the proportions of its notebook and folded to subjects; a
+   notebook is about a subject that claims at least two of its cells.
 
 Defined results
 ---------------
@@ -16,7 +23,7 @@ cell without vocabulary terms      about nothing
 cell whose terms are divided       about the subject with at least ``share`` of its subject terms, otherwise none
 fewer than ``least`` such terms    about nothing: a passing mention
 repeated documents                 the notebook's subjects once
-subject description without terms  that subject is never assigned
+subject that no topic is mapped to that subject is never assigned
 """
 
 from __future__ import annotations
@@ -38,7 +45,27 @@ from weftspan.runtime import cut
 #: Vocabulary: terms that this share of notebooks hold at least and at most. The first bounds the model's size too: a corpus has no
 #: more such terms than the mean of a notebook's distinct terms over the share, whatever the number of notebooks.
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0005, 0.4, 3
-BACKGROUND, PASSES, INNER, ALPHA, ETA = 4, 4, 8, 0.05, 0.01
+TOPICS_A_SUBJECT, FREE_PASSES, BACKGROUND, PASSES, INNER, ALPHA, ETA = 2, 3, 4, 4, 8, 0.05, 0.01
+#: Width of the random projection of a term's company; least distance of a company from the mean one, relative to its length,
+#: at which a term takes part in the first model; share of notebooks that an anchor is in.
+PROJECTION, UNLIKE, ANCHOR_SHARE = 64, 0.6, 0.003
+#: Top terms of a topic that are looked at, how many must speak for its subject, and their share among those that speak for any.
+TOP_TERMS, TOP_LEAST, TOP_SHARE = 40, 2, 0.8
+#: Terms read off the top of fitted topics and judged by hand to belong to one subject.
+INSPECTED = {
+    "law": "verdict statute tribunal plaintiff appeal precedent injunction testimony clause_len court_level case_docket damages_awarded",
+    "medicine": "patient dosage placebo surgeon biopsy fever vaccine lesion anaesthetic remission dose_mg bp_systolic triage_score ward_id",
+    "sport": "striker referee league tournament penalty marathon coach sprint offside athletic season_points lap_time shots_on_goal team_elo",
+    "finance": "portfolio dividend bond equity hedge liquidity ledger fiscal leveraged spread_bps loan_amount coupon_rate close_price log_return",
+    "astronomy": "galaxy orbit pulsar asteroid eclipse lunar interstellar luminous comet orbit_period transit_depth flux_jy star_mag redshift_z",
+    "chemistry": "solvent catalyst titration polymer molarity reagent electrolyte distillate precipitate absorbance_nm bond_angle molar_mass ph_value",
+    "ecology": "habitat pollinator wetland canopy seedling species invasive migratory endangered biomass_kg plot_transect nest_id species_count",
+    "software": "compiler deadlock bytecode immutable parser recursive idempotent asynchronous deprecated lint_errors build_ms commit_sha heap_mb",
+    "music": "melody chord syncopated timbre choral percussion harmonic choir acoustic loudness_db chord_label tempo_bpm chroma_vec pitch_hz",
+    "cooking": "dough simmer sourdough savoury fermented seasoning oven buttery crispy salt_pct flour_g proof_minutes recipe_id oven_temp",
+    "transport": "tram freight ferry runway junction outbound delayed arterial congested delay_min boardings stop_seq route_no axle_load",
+    "history": "dynasty treaty medieval feudal crusade archaeological imperial peasantry archive siege_days folio_no treaty_id census_year",
+}
 #: Divergence (nats) of a term's subjects from all terms' at which it is kept for the second model.
 DIVERGENCE = 0.4
 LEAST_TERMS, SHARE, CELLS = 0.75, 0.5, 2
@@ -248,7 +275,7 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.R
         for i in range(0, b.num_rows, size):
             part = b.slice(i, size)
             if part.num_rows:
-                yield pa.RecordBatch.from_pylist([], part.schema) if not part.num_rows else pa.Table.from_batches([part]).combine_chunks().to_batches()[0]
+                yield pa.Table.from_batches([part]).combine_chunks().to_batches()[0]
 
 
 def _sum_by_term(indexed: DataFrame, emit, n_terms: int, width: int) -> np.ndarray:
@@ -269,11 +296,11 @@ def _sum_by_term(indexed: DataFrame, emit, n_terms: int, width: int) -> np.ndarr
     return out
 
 
-def seeds_of(subjects: list[tuple[str, str]], terms: dict[str, int]) -> dict[str, list[int]]:
-    """Vocabulary terms of each subject's name and description; words that several subjects use are dropped."""
-    words = {s: set(terms_of(f"{s} {d or ''}")) for s, d in subjects}
+def subject_words(subjects: list[tuple[str, str]], inspected: dict[str, str] = INSPECTED) -> dict[str, set[str]]:
+    """Terms that speak for each subject: inspected ones and those of its description; what several subjects have is dropped."""
+    words = {s: {*terms_of(f"{s} {d or ''}"), *inspected.get(s, "").split()} for s, d in subjects}
     uses = Counter(w for ws in words.values() for w in ws)
-    return {s: sorted(terms[w] for w in ws if uses[w] == 1 and w in terms) for s, ws in words.items()}
+    return {s: {w for w in ws if uses[w] == 1} for s, ws in words.items()}
 
 
 def _weights(table: np.ndarray) -> np.ndarray:
@@ -282,25 +309,60 @@ def _weights(table: np.ndarray) -> np.ndarray:
     return np.exp(digamma(table) - digamma(table.sum(axis=0, keepdims=True))).astype(np.float32)
 
 
-def seed_table(indexed: DataFrame, n_terms: int, seeds: dict[str, list[int]], background: int = BACKGROUND) -> np.ndarray:
-    """(terms, topics) to start from: for each subject the company its seeds keep, and ``background`` topics of all terms."""
-    names = list(seeds)
-    lead = np.zeros((n_terms, len(names)), np.float32)
-    for j, s in enumerate(names):
-        lead[seeds[s], j] = 1
+@dataclass
+class Company:
+    """Of each term: the company it keeps (in projection, per occurrence), its occurrences and its notebooks."""
+
+    means: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+
+    def away(self) -> np.ndarray:
+        """Company less the mean company, in units of the latter's length."""
+        mean = self.n @ self.means / max(self.n.sum(), 1)
+        return (self.means - mean) / max(float(np.linalg.norm(mean)), 1e-9)
+
 
-    def company(b: Bags, total: np.ndarray) -> None:
-        held = np.zeros((b.size, len(names)), np.float32)
+def companies(indexed: DataFrame, n_terms: int, width: int = PROJECTION) -> Company:
+    """One pass over all notebooks. Each term has a random direction; a term's company is the mean of the other terms of its notebooks."""
+    directions = np.random.default_rng(7).standard_normal((n_terms, width)).astype(np.float32)
+
+    def step(b: Bags, total: np.ndarray) -> None:
+        own, size = np.zeros((b.size, width), np.float32), np.zeros(b.size, np.float32)
         if b.begins.size:
-            held[b.filled] = np.add.reduceat(lead[b.term], b.begins, axis=0) > 0
-        _add(total, b.term, np.concatenate([held[b.rows], np.ones((b.term.size, 1), np.float32)], axis=1) * b.n[:, None])
+            own[b.filled] = np.add.reduceat(directions[b.term] * b.n[:, None], b.begins, axis=0)
+            size[b.filled] = np.add.reduceat(b.n, b.begins)
+        share = b.n / np.maximum(size[b.rows] - 1, 1)
+        _add(total, b.term, np.concatenate([(own[b.rows] - directions[b.term]) * share[:, None], b.n[:, None], np.ones((b.term.size, 1), np.float32)], axis=1))
+
+    got = _sum_by_term(indexed, step, n_terms, width + 2)
+    return Company(got[:, :-2] / np.maximum(got[:, -2:-1], 1), got[:, -2], got[:, -1])
+
+
+def anchor_terms(away: np.ndarray, allowed: np.ndarray, topics: int) -> list[int]:
+    """Terms whose company is farthest from what the anchors before them span."""
+    at, out = np.flatnonzero(allowed), []
+    rest = away[at].copy()
+    for _ in range(min(topics, at.size)):
+        lengths = (rest**2).sum(axis=1)
+        best = int(lengths.argmax())
+        if lengths[best] < 1e-12:
+            break
+        out.append(int(at[best]))
+        along = rest[best] / np.sqrt(lengths[best])
+        rest -= np.outer(rest @ along, along)
+    return out
+
 
-    counts = _sum_by_term(indexed, company, n_terms, len(names) + 1)
-    every = counts[:, -1:]
-    share = counts[:, :-1].sum(axis=0, keepdims=True) / max(every.sum(), 1)
-    surplus = np.maximum(counts[:, :-1] - 2 * every * share, 0)  # what seeds bring beyond twice the expected
-    spread = 1 + 0.1 * np.sin(np.outer(np.arange(1, n_terms + 1), np.arange(1, background + 1)))  # told apart, and the same in every run
-    return np.concatenate([surplus, every / max(background, 1) * spread[:, :background]], axis=1) + ETA
+def anchored_table(company: Company, topics: int, least_docs: float) -> np.ndarray:
+    """(terms, topics) to start from: each term's occurrences go to the anchors whose company is like its own."""
+    away = company.away()
+    anchors = anchor_terms(away, company.docs >= least_docs, topics)
+    if not anchors:
+        return np.full((len(company.n), 1), ETA) + company.n[:, None]
+    turned = away / (np.linalg.norm(away, axis=1, keepdims=True) + 1e-9)
+    like = np.exp(8 * turned @ turned[anchors].T)
+    return like / like.sum(axis=1, keepdims=True) * company.n[:, None] + ETA
 
 
 def fit_topics(indexed: DataFrame, table: np.ndarray, passes: int = PASSES) -> np.ndarray:
@@ -316,16 +378,21 @@ def fit_topics(indexed: DataFrame, table: np.ndarray, passes: int = PASSES) -> n
     return table
 
 
-def subject_use(indexed: DataFrame, table: np.ndarray, n_subjects: int) -> np.ndarray:
+def fold_table(topics: list[str | None], names: list[str]) -> np.ndarray:
+    """(topics, subjects): one where a topic is mapped to a subject."""
+    return np.array([[t == s for s in names] for t in topics], np.float32).reshape(len(topics), len(names))
+
+
+def subject_use(indexed: DataFrame, table: np.ndarray, fold: np.ndarray) -> np.ndarray:
     """(terms, subjects): in how many notebooks a term is, shared by what the notebooks are about."""
     weights = _weights(table)
 
     def step(b: Bags, total: np.ndarray) -> None:
-        theta = infer(b, weights)[0][:, :n_subjects]
+        theta = infer(b, weights)[0] @ fold
         theta = theta / (theta.sum(axis=1, keepdims=True) + 1e-30)
         _add(total, b.term, theta[b.rows])
 
-    return _sum_by_term(indexed, step, table.shape[0], n_subjects)
+    return _sum_by_term(indexed, step, table.shape[0], fold.shape[1])
 
 
 def telling(use: np.ndarray, least: float = DIVERGENCE) -> np.ndarray:
@@ -347,26 +414,28 @@ def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     total[at[begins]] += np.add.reduceat(values[order], begins, axis=0)
 
 
-def map_topics(table: np.ndarray, seeds: dict[str, list[int]], least: float = 0.3) -> list[str | None]:
-    """The subject of each topic: that whose seeds it holds most of, if it holds a share of ``least`` at least."""
-    names = list(seeds)
-    within = table / table.sum(axis=1, keepdims=True)
-    held = np.array([within[seeds[s]].mean(axis=0) if seeds[s] else np.zeros(table.shape[1]) for s in names])
-    return [names[int(held[:, k].argmax())] if len(names) and held[:, k].max() >= least else None for k in range(table.shape[1])]
+def top_terms(table: np.ndarray, words: list[str], count: int = TOP_TERMS) -> list[dict[str, float]]:
+    """The terms of each topic that are both frequent in it and its own, with their weights."""
+    rank = table * (table / table.sum(axis=1, keepdims=True))
+    return [{words[i]: float(rank[i, k]) for i in np.argsort(-rank[:, k], kind="stable")[:count]} for k in range(table.shape[1])]
 
 
-def top_terms(table: np.ndarray, terms: dict[str, int], count: int = 20) -> list[list[str]]:
-    """The terms of each topic that are both frequent in it and its own."""
-    words = list(terms)
-    within = table / table.sum(axis=1, keepdims=True)
-    return [[words[i] for i in np.argsort(-(table[:, k] * within[:, k]), kind="stable")[:count]] for k in range(table.shape[1])]
+def map_topics(tops: list[dict[str, float]], speaks: dict[str, set[str]], least: int = TOP_LEAST, share: float = TOP_SHARE) -> list[str | None]:
+    """The subject of each topic that ``least`` of its top terms speak for, with ``share`` of the weight of all that speak for any."""
+    out: list[str | None] = []
+    for top in tops:
+        weight = {s: sum(top[w] for w in ws if w in top) for s, ws in sorted(speaks.items())}
+        best = max(weight, key=weight.get, default=None)
+        sure = best is not None and weight[best] >= share * sum(weight.values()) and sum(w in top for w in speaks[best]) >= least
+        out.append(best if sure else None)
+    return out
 
 
 def cell_claims(indexed: DataFrame, table: np.ndarray, topics: list[str | None], least: float = LEAST_TERMS, share: float = SHARE) -> DataFrame:
     """(doc_id, cell, subject, weight): the subject of each cell that has one, and the terms it claims there."""
     weights = _weights(table)
     names = sorted({t for t in topics if t})
-    fold = np.array([[t == s for s in names] for t in topics], np.float32).reshape(len(topics), len(names))
+    fold = fold_table(topics, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -391,31 +460,46 @@ def cell_claims(indexed: DataFrame, table: np.ndarray, topics: list[str | None],
 
 @dataclass
 class SubjectModel:
-    indexed: DataFrame
+    """A fitted model: its terms, their table by topics, and the subject of each topic."""
+
     terms: dict[str, int]
     table: np.ndarray
     topics: list[str | None]
 
 
-def fit_subjects(docs: DataFrame, subjects: DataFrame, items: DataFrame | None = None) -> SubjectModel:
+def fit_subjects(docs: DataFrame, subjects: DataFrame, items: DataFrame | None = None, inspected: dict[str, str] = INSPECTED) -> tuple[SubjectModel, DataFrame]:
+    """The model, and the indexed cells it was fitted to."""
     cells = cut(cell_terms(docs, items))
     named = sorted((r.subject, r.description) for r in subjects.where("subject is not null").dropDuplicates(["subject"]).collect())
+    names, speaks = [s for s, _ in named], subject_words(named, inspected)
     terms = vocabulary(cells)
-    indexed = cut(index_terms(cells, terms))
-    seeds = seeds_of(named, terms)
-    first = fit_topics(indexed, seed_table(indexed, len(terms), seeds))
-    use = subject_use(indexed, first, len(named))
-    keep = telling(use)
-    for s in seeds.values():
-        keep[s] = True
     words = list(terms)
+    indexed = cut(index_terms(cells, terms))
+    company = companies(indexed, len(terms))
+    special = np.linalg.norm(company.away(), axis=1) > UNLIKE
+    own = keep_terms(indexed, special)
+    of_own = Company(company.means[special], company.n[special], company.docs[special])
+    least_docs = max(LEAST_DOCS, ANCHOR_SHARE * indexed.count())
+    free = fit_topics(own, anchored_table(of_own, TOPICS_A_SUBJECT * len(names), least_docs), FREE_PASSES)
+    mapped = map_topics(top_terms(free, [w for w, s in zip(words, special) if s]), speaks)
+    use = np.zeros((len(terms), len(names)))
+    use[special] = subject_use(own, free, fold_table(mapped, names))
+    keep = telling(use) & special
     kept = {words[i]: j for j, i in enumerate(np.flatnonzero(keep).tolist())}
+    # the background starts as a tenth of every term, told apart, and the same in every run
+    spread = 1 + 0.1 * np.sin(np.outer(np.arange(1, len(kept) + 1), np.arange(1, BACKGROUND + 1)))
+    start = np.concatenate([use[keep], 0.1 / BACKGROUND * use[keep].sum(axis=1, keepdims=True) * spread], axis=1)
     indexed = cut(keep_terms(indexed, keep))
-    table = fit_topics(indexed, use[keep] + ETA)
-    return SubjectModel(indexed, kept, table, map_topics(table, seeds_of(named, kept)))
+    table = fit_topics(indexed, start + ETA)
+    return SubjectModel(kept, table, map_topics(top_terms(table, list(kept)), speaks)), indexed
+
+
+def index_cells(docs: DataFrame, model: SubjectModel, items: DataFrame | None = None) -> DataFrame:
+    """Cells of any notebooks by the terms of a fitted model."""
+    return index_terms(cell_terms(docs, items), model.terms)
 
 
-def assign_subjects(model: SubjectModel, cells: int = CELLS) -> DataFrame:
+def assign_subjects(model: SubjectModel, indexed: DataFrame, cells: int = CELLS) -> DataFrame:
     """(doc_id, subject, n_cells) of every notebook; its cells are in one row, so nothing is shuffled but the result."""
-    claims = cell_claims(model.indexed, model.table, model.topics)
+    claims = cell_claims(indexed, model.table, model.topics)
     return claims.groupBy("doc_id", "subject").agg(F.count_distinct("cell").alias("n_cells")).where(F.col("n_cells") >= cells)
