@@ -48,18 +48,18 @@ def p7_report(spark: SparkSession, base: str) -> DataFrame:
 _models: dict[tuple[str, str], SubjectModel] = {}
 
 
-def _model(spark: SparkSession, base: str) -> tuple[SubjectModel, DataFrame]:
-    """The fitted model and the indexed cells. A model is fitted once a session and folder; only its small tables are kept."""
+def _model(spark: SparkSession, base: str, anew: bool = False) -> tuple[SubjectModel, DataFrame]:
+    """The fitted model and the indexed cells. Its small tables are kept for the session's other queries of the folder."""
     key = (spark.sparkContext.applicationId, base)
     docs, items = table(spark, base, "documents"), table(spark, base, "eval_items")
-    if key in _models:
+    if key in _models and not anew:
         return _models[key], index_cells(docs, _models[key], items)
     _models[key], indexed = fit_subjects(docs, table(spark, base, "subject_areas"), items)
     return _models[key], indexed
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    return assign_subjects(*_model(spark, base)).select("doc_id", "subject")
+    return assign_subjects(*_model(spark, base, anew=True)).select("doc_id", "subject")
 
 
 def p8_cells(spark: SparkSession, base: str) -> DataFrame:
