@@ -70,6 +70,22 @@ def test_recursion_on_quotients(spark):
     assert solve(spark, ring, piece_rows=16, broadcast_rows=0) == brute(ring)
 
 
+def test_more_pieces_than_any_fixed_number(spark):
+    # 1,250 pieces at first; chains lie over several of them
+    rows = [("j", f"{c:03d}.{i:02d}", f"{c:03d}.{i - 1:02d}" if i else None, c * 40 + i) for c in range(500) for i in range(40)]
+    got = solve(spark, rows, piece_rows=16)
+    assert got == {(j, k): (f"{k[:3]}.00", int(k[4:]), "tree", [f"{k[:3]}.{i:02d}" for i in range(int(k[4:]) + 1)]) for j, k, _, _ in rows}
+
+
+def test_pieces_hold_no_more_than_asked_for(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(hierarchy, "_solve_rows", lambda t, _: sizes.append(t.num_rows) or t.num_rows)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(n))}) for n in (3, 25, 10, 1)]
+    assert list(hierarchy._contract_runs(10, False)(iter(batches))) == [10, 10, 10, 9] == sizes
+
+
 def test_doubling_by_joins(spark, monkeypatch):
     rows = forest(11, 120)
     want = brute(rows)

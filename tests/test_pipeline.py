@@ -94,6 +94,50 @@ def test_from_documents_to_diagrams_and_back(spark, project):
     assert D.equivalent((tmp / "f" / "Users_Svc.puml").read_text(), text)
 
 
+def test_a_program_of_the_users_own(spark, project):
+    tmp, conf = project
+    given = yaml.safe_load(conf.read_text())
+    query = """with spans as (select _file, _line, explode(from_json(value, 'struct<resource_spans:array<struct<scope_spans:array<struct<spans:array<struct<trace_id:string,span_id:string,parent:string,start:string,`end`:string,name:string>>>>>>>').resource_spans[0].scope_spans[0].spans) as s from documents)
+      select 'w' as job_name, s.trace_id as job_id, s.span_id as event_id, s.parent as parent_event_id, s.name as event_type, s.start as start_timestamp, s.`end` as end_timestamp, 'a' as application_name, _file, _line from spans"""
+    given["data_sources"]["json"] = {"dirpath": str(tmp / "in"), "sql_query": query}
+    spans, rejected = files.read_spans(spark, Config.of(given).source)
+    assert spans.count() == 13 and rejected.count() == 0 and {r.job_id for r in spans.select("job_id").distinct().collect()} == {"t1", "t2", "t3", "t4"}
+    given["data_sources"]["json"]["sql_query"] = "select value from documents"
+    with pytest.raises(ValueError, match="missing"):
+        files.read_spans(spark, Config.of(given).source)
+
+
+def test_store_keeps_the_order_of_arrival_and_is_idempotent(spark, project):
+    from weftspan import pipeline
+
+    tmp, conf = project
+    # the same event again, in a later file but with an earlier start: the first to arrive stays the valid one
+    again = trace("t1", "other")
+    for s in again:
+        s["start"] = str(int(s["start"]) - 50)
+    (tmp / "in" / "z.json").write_text(json.dumps(document(again)))
+    config = Config.of(yaml.safe_load(conf.read_text()))
+    rows = [sorted(map(str, pipeline.traces_to_pv(spark, config, ingest).pv.collect())) for ingest in (True, False, True, False)]
+    assert rows[0] == rows[1] == rows[2] == rows[3] and len(rows[0]) == 12
+    assert spark.read.parquet(config.store).count() == 13
+
+
+def test_large_jobs_come_in_parts_and_names_are_numbered(spark, tmp_path):
+    rows = [(f"j{i % 3}", f"e{i:03d}", f"2024-01-01T00:00:00.{i:06d}Z", [] if i < 3 else [f"e{i - 3:03d}"], "a", "hot", "T") for i in range(100)] + [("k", "x", "2024-01-01T00:00:00.000000Z", [], "a", "cold name", "T")]
+    pv = spark.createDataFrame(rows, "jobId string, eventId string, timestamp string, previousEventIds array<string>, applicationName string, jobName string, eventType string").repartition(7)
+    parts = files.sequence_documents(pv, part_events=10).orderBy("jobName", "n", "part_no").collect()
+    assert [(r.jobName, r.jobId, r.n, r.part_no) for r in parts] == [("cold name", "k", 1, 0), *[("hot", f"j{j}", j + 1, k) for j in range(3) for k in range(4)]]
+    got = [e["eventId"] for r in parts if r.jobId == "j1" for e in json.loads(r.document)]
+    assert got == [r[1] for r in rows if r[0] == "j1"]
+    assert files.save_sequences(pv, str(tmp_path / "s")) == 4
+    text = (tmp_path / "s" / "hot" / "pv_event_sequence_2.json").read_text()
+    events = json.loads(text)
+    assert [e["eventId"] for e in events] == got and text == json.dumps(events, indent=4)
+    assert len(list((tmp_path / "s" / "hot").iterdir())) == 3
+    spans = files.pv_to_spans(pv, per_file=10).where("job_name = 'hot'").groupBy("file_no").count().collect()
+    assert sorted((r.file_no, r["count"]) for r in spans) == [(i, 10) for i in range(10)]
+
+
 def test_pv_files(spark, tmp_path):
     e = {"job": "j", "eventId": "e", "timestamp": "2024-01-01T00:00:00.059959Z", "applicationName": "a", "jobName": "n", "eventType": "T", "previousEventIds": "x"}
     (tmp_path / "one.json").write_text(json.dumps(e))

@@ -63,21 +63,22 @@ class JsonSource:
     json_per_line: bool = False
     field_mapping: dict[str, FieldSpec] | None = None
     jq_query: str | None = None
+    sql_query: str | None = None
 
     @classmethod
     def of(cls, given: dict) -> JsonSource:
-        _only(given, {"dirpath", "filepath", "json_per_line", "field_mapping", "jq_query"}, "data_sources.json")
+        _only(given, {"dirpath", "filepath", "json_per_line", "field_mapping", "jq_query", "sql_query"}, "data_sources.json")
         if bool(given.get("dirpath")) == bool(given.get("filepath")):
             raise ValueError("data_sources.json: give either dirpath or filepath")
-        if bool(given.get("field_mapping")) == bool(given.get("jq_query")):
-            raise ValueError("data_sources.json: give either field_mapping or jq_query")
+        if sum(bool(given.get(x)) for x in ("field_mapping", "jq_query", "sql_query")) != 1:
+            raise ValueError("data_sources.json: give one of field_mapping, sql_query and jq_query")
         mapping = given.get("field_mapping")
         if mapping:
             if lacking := set(FIELDS) - set(mapping):
                 raise ValueError(f"field_mapping: missing {sorted(lacking)}")
             _only(mapping, {*FIELDS, *OPTIONAL_FIELDS}, "field_mapping")
             mapping = {n: FieldSpec.of(n, s) for n, s in mapping.items()}
-        return cls(given.get("dirpath"), given.get("filepath"), bool(given.get("json_per_line", False)), mapping, given.get("jq_query"))
+        return cls(given.get("dirpath"), given.get("filepath"), bool(given.get("json_per_line", False)), mapping, given.get("jq_query"), given.get("sql_query"))
 
 
 @dataclass

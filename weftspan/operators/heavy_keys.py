@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftspan.runtime import cut, join_small
 
@@ -86,23 +87,40 @@ def numbered_runs(rows: DataFrame, ordered: bool) -> DataFrame:
         placed = rows.repartitionByRange("key", "value", "tie").sortWithinPartitions("key", "value").drop("tie")
     else:
         placed = rows.sortWithinPartitions("key")
-    schema = ", ".join(f"{c} {t}" for c, t in placed.dtypes)
-    return cut(placed.mapInArrow(_number(placed.columns), f"{schema}, part int, number bigint, fresh boolean"))
+    return _numbered(placed)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    added = T.StructType().add("part", T.IntegerType()).add("number", T.LongType()).add("fresh", T.BooleanType())
+    return cut(placed.mapInArrow(_number(placed.columns), T.StructType([*placed.schema.fields, *added.fields])))
 
 
 def key_offsets(runs: DataFrame) -> DataFrame:
-    """(key, part, n, before, key_rows): rows of each key in each partition, and of it in earlier ones."""
+    """(key, part, n, before, key_rows, parts): rows of each key in each partition and of it in earlier ones, and its partitions."""
     counts = runs.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     by_key = Window.partitionBy("key")
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("key_rows", F.sum("n").over(by_key))
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumns({"key_rows": F.sum("n").over(by_key), "parts": F.count(F.lit(1)).over(by_key)})
 
 
 def number_rows(runs: DataFrame, offsets: DataFrame, least: int = 0) -> DataFrame:
     """Add ``row_no``, exact and without gaps for keys of more than ``least`` rows, and below ``least`` for others."""
-    large = offsets.where(F.col("key_rows") > least).select("key", "part", "before")
+    large = offsets.where((F.col("key_rows") > least) & (F.col("parts") > 1)).select("key", "part", "before")
     return join_small(runs, large, ["key", "part"], "left").withColumn("row_no", F.col("number") + F.coalesce("before", F.lit(0)))
 
 
+def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str = "row_no") -> DataFrame:
+    """``df`` and the number, from 0, of each row within ``by`` in ``order``, without one task for all rows of a key.
+
+    Rows that are equal in ``order`` are numbered in any order. A key lies in several range partitions only if one of
+    their bounds falls into it, so there are fewer offsets than twice the partitions.
+    """
+    key = F.to_json(F.array(*[F.col(c).cast("string") for c in by])).alias("key")
+    bounds = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(c).alias(b) for c, b in zip(order, bounds)])
+    runs = _numbered(rows.repartitionByRange("key", *bounds).sortWithinPartitions("key", *bounds).select("key", "_row"))
+    return number_rows(runs, key_offsets(runs)).select("_row.*", F.col("row_no").alias(name))
+
+
 def chunk_states(numbered: DataFrame, chunk_rows: int) -> DataFrame:
     """One state per chunk, and per part where a chunk lies in several."""
     has = numbered.columns

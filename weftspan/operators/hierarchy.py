@@ -1,11 +1,13 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every node, and all cycles.
 
-Nodes of a group (a trace) are placed together; a group of more than ``piece_rows`` nodes is cut into pieces, by
-arrival, so that a child mostly lies in the piece of its parent. In each piece parent chains are contracted by pointer
+Nodes of a group (a trace) are placed together. Groups of more than ``piece_rows`` nodes are range-partitioned by
+arrival, so that a child mostly lies near its parent, and every partition is cut into pieces of ``piece_rows``: a group
+has as many pieces as it needs, and no task holds more than one. In each piece parent chains are contracted by pointer
 doubling to the node where they leave the piece (a fragment's exit) or end. Exit targets and the fragment roots above
-them form a much smaller quotient forest, which is solved by the same procedure; then the fragments are expanded.
-Cycles within a piece are seen in its contraction, cycles through several pieces in the quotient. Where a quotient
-does not shrink enough, pointers are doubled by joins instead, which needs no large task for any shape of forest.
+them form a much smaller quotient forest, which keeps the order of arrival and is solved by the same procedure; then the
+fragments are expanded. Cycles within a piece are seen in its contraction, cycles through several pieces in the quotient.
+Where a quotient does not shrink enough (kin lie far apart), pointers are doubled by joins instead, which needs no large
+task for any shape of forest.
 
 Defined results
 ---------------
@@ -28,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.runtime import BROADCAST_ROWS, cut, join_small
+from weftspan.runtime import BROADCAST_ROWS, cut, join_small, join_spread
 
 PIECE_ROWS = 50_000
-_OUT = "job string, k string, p string, split boolean, root string, dist bigint, state string, target string, exit_w bigint, exit_low string, low string, cycle_top string, path array<string>, exit_mid array<string>"
+_OUT = "job string, k string, p string, split boolean, root string, dist bigint, state string, target string, exit_w bigint, exit_low string, low string, cycle_top string, path array<string>, exit_mid array<string>, loc bigint"
 _OUT_ARROW = pa.schema([
     ("job", pa.string()), ("k", pa.string()), ("p", pa.string()), ("split", pa.bool_()), ("root", pa.string()), ("dist", pa.int64()), ("state", pa.string()), ("target", pa.string()),
-    ("exit_w", pa.int64()), ("exit_low", pa.string()), ("low", pa.string()), ("cycle_top", pa.string()), ("path", pa.list_(pa.string())), ("exit_mid", pa.list_(pa.string())),
+    ("exit_w", pa.int64()), ("exit_low", pa.string()), ("low", pa.string()), ("cycle_top", pa.string()), ("path", pa.list_(pa.string())), ("exit_mid", pa.list_(pa.string())), ("loc", pa.int64()),
 ])
 
 
@@ -116,7 +118,7 @@ def _solve_rows(t: pa.Table, with_path: bool) -> pa.RecordBatch:
     ends = pa.array(np.where(done, anc, 0), mask=~done)
     return pa.RecordBatch.from_arrays([
         job, k, p, t["split"].combine_chunks(), pc.take(k, ends), pa.array(dist, mask=~done), pa.array(state.tolist(), pa.string()), pc.take(p, pick),
-        pc.take(t["w"].combine_chunks(), pick), pc.take(t["low"].combine_chunks(), pick), low_text, cycle_top, paths, mids,
+        pc.take(t["w"].combine_chunks(), pick), pc.take(t["low"].combine_chunks(), pick), low_text, cycle_top, paths, mids, t["loc"].combine_chunks(),
     ], schema=_OUT_ARROW)
 
 
@@ -187,30 +189,50 @@ def _contract(piece_rows: int, with_path: bool):
     return run
 
 
-def _place(links: DataFrame, hot: DataFrame | None, level: int, with_path: bool, piece_rows: int, broadcast_rows: int) -> DataFrame:
-    if hot is None:
-        rows = links.withColumn("piece", F.xxhash64("job")).withColumn("split", F.lit(False))
+def _contract_runs(piece_rows: int, with_path: bool):
+    """Rows come in the order of arrival; every ``piece_rows`` of them are a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            at = 0
+            while size + batch.num_rows - at >= piece_rows:
+                held.append(batch.slice(at, piece_rows - size))
+                at += piece_rows - size
+                yield _solve_rows(pa.Table.from_batches(held), with_path)
+                held, size = [], 0
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+                size += batch.num_rows - at
+        if held:
+            yield _solve_rows(pa.Table.from_batches(held), with_path)
+
+    return run
+
+
+_IN = ("job", "k", "p", "w", "low", "mid", "loc", "split")
+
+
+def _place(links: DataFrame, hot: DataFrame | None, with_path: bool, piece_rows: int, broadcast_rows: int) -> DataFrame:
+    if hot is not None:
+        links = join_small(links, hot.withColumn("split", F.lit(True)), ["job"], "left", broadcast_rows)
     else:
-        rows = join_small(links, hot, ["job"], "left", broadcast_rows)
-        by_order = F.size(F.filter("bounds", lambda b: b < F.col("loc"))) if level == 0 else F.pmod(F.xxhash64("k", F.lit(level)), F.col("pieces"))
-        number = F.when(F.col("pieces").isNotNull(), by_order).otherwise(0).cast("int")
-        # equal pieces of light groups may share a number; groups are told apart in the contraction
-        rows = rows.withColumn("piece", F.xxhash64("job", number)).withColumn("split", F.col("pieces").isNotNull())
-    placed = rows.repartition("piece").sortWithinPartitions("piece")
-    return placed.select("job", "k", "p", "w", "low", "mid", "split", "piece").mapInArrow(_contract(piece_rows, with_path), _OUT)
-
-
-def _hot(links: DataFrame, level: int, piece_rows: int, broadcast_rows: int) -> DataFrame | None:
-    """Groups too large for one piece, with the number of their pieces and, at first, the bounds of their arrival order."""
-    big = cut(links.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece_rows).select("job", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces")))
-    if big.isEmpty():
-        return None
-    if level:
-        return big.withColumn("bounds", F.lit(None).cast("array<bigint>"))
-    inner = join_small(links.select("job", "loc"), big, ["job"], "inner", broadcast_rows)
-    steps = inner.groupBy("job", "pieces").agg(F.percentile_approx("loc", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), F.lit(10_000)).alias("q"))
-    every = F.greatest(F.lit(1), F.floor(F.lit(1024) / F.col("pieces"))).cast("int")
-    return cut(steps.select("job", "pieces", F.filter("q", lambda x, i: (i + 1) % every == 0).alias("bounds")))
+        links = links.withColumn("split", F.lit(None).cast("boolean"))
+    whole = links.where("split is null").withColumn("split", F.lit(False)).withColumn("piece", F.xxhash64("job"))
+    # equal pieces of two groups are told apart in the contraction
+    out = whole.repartition("piece").sortWithinPartitions("piece").select(*_IN, "piece").mapInArrow(_contract(piece_rows, with_path), _OUT)
+    if hot is None:
+        return out
+    order = ("job", "loc", "k")
+    runs = links.where("split").select(*_IN).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.unionByName(runs.mapInArrow(_contract_runs(piece_rows, with_path), _OUT))
+
+
+def _hot(links: DataFrame, piece_rows: int) -> DataFrame | None:
+    """Groups too large for one piece."""
+    big = cut(links.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > piece_rows).select("job"))
+    return None if big.isEmpty() else big
 
 
 def _jump(links: DataFrame, with_path: bool = True) -> DataFrame:
@@ -258,10 +280,10 @@ def _mark(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"job": rows["job"].iloc[0], "k": list(found)}, columns=["job", "k"])
 
 
-def _solve(links: DataFrame, level: int, piece_rows: int, with_path: bool, broadcast_rows: int) -> DataFrame:
-    """links: (job, k, p, w, low, mid[, loc]) -> rows of _OUT whose state is top, on_cycle or leads_to_cycle."""
-    hot = _hot(links, level, piece_rows, broadcast_rows)
-    solved = _place(links, hot, level, with_path, piece_rows, broadcast_rows)
+def _solve(links: DataFrame, piece_rows: int, with_path: bool, broadcast_rows: int) -> DataFrame:
+    """links: (job, k, p, w, low, mid, loc) -> rows of _OUT whose state is top, on_cycle or leads_to_cycle."""
+    hot = _hot(links, piece_rows)
+    solved = _place(links, hot, with_path, piece_rows, broadcast_rows)
     if hot is None:
         return solved
     solved = cut(solved)
@@ -274,23 +296,24 @@ def _solve(links: DataFrame, level: int, piece_rows: int, with_path: bool, broad
     none, no_ids = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     ring = above.where("cycle_top is not null")
     quotient = (
-        above.where("root != k").select("job", "k", F.col("root").alias("p"), F.col("dist").alias("w"), "low", F.expr("slice(path, 2, size(path) - 2)").alias("mid"))
-        .unionByName(tops.select("job", "k", F.col("target").alias("p"), F.coalesce("exit_w", F.lit(1)).alias("w"), F.col("exit_low").alias("low"), F.col("exit_mid").alias("mid")))
-        .unionByName(ring.where("k != cycle_top").select("job", "k", F.col("cycle_top").alias("p"), F.lit(1).cast("bigint").alias("w"), none.alias("low"), no_ids.alias("mid")))
-        .unionByName(ring.select("job", F.col("cycle_top").alias("k"), F.col("cycle_top").alias("p"), F.lit(1).cast("bigint").alias("w"), none.alias("low"), no_ids.alias("mid")).distinct())
+        above.where("root != k").select("job", "k", F.col("root").alias("p"), F.col("dist").alias("w"), "low", F.expr("slice(path, 2, size(path) - 2)").alias("mid"), "loc")
+        .unionByName(tops.select("job", "k", F.col("target").alias("p"), F.coalesce("exit_w", F.lit(1)).alias("w"), F.col("exit_low").alias("low"), F.col("exit_mid").alias("mid"), "loc"))
+        .unionByName(ring.where("k != cycle_top").select("job", "k", F.col("cycle_top").alias("p"), F.lit(1).cast("bigint").alias("w"), none.alias("low"), no_ids.alias("mid"), "loc"))
+        .unionByName(ring.select("job", F.col("cycle_top").alias("k"), F.col("cycle_top").alias("p"), F.lit(1).cast("bigint").alias("w"), none.alias("low"), no_ids.alias("mid"), F.lit(0).cast("bigint").alias("loc")).distinct())
     )
     quotient = cut(quotient)
     shrunk = quotient.count() <= 0.6 * inner.count()
-    upper = cut(_solve(quotient, level + 1, piece_rows, with_path, broadcast_rows) if shrunk else _jump(quotient, with_path))
+    upper = cut(_solve(quotient, piece_rows, with_path, broadcast_rows) if shrunk else _jump(quotient, with_path))
     up = upper.select("job", F.col("k").alias("target"), F.col("root").alias("_root"), F.col("dist").alias("_dist"), F.col("state").alias("_state"), F.col("cycle_top").alias("_top"), F.col("path").alias("_path"))
-    grown = join_small(leaving, up, ["job", "target"], "left", broadcast_rows)
+    # both sides grow with the data, and many fragments may leave to one target
+    grown = join_spread(leaving, up, ["job", "target"], "left")
     loops = F.col("_state").isin("on_cycle", "leads_to_cycle")
     rest = F.concat(F.coalesce("exit_mid", F.array().cast("array<string>")), "path")
     grown = grown.select(
         "job", "k", "p", "split", F.when(F.col("_state") == "top", F.col("_root")).when(F.col("_state").isNull(), F.col("root")).alias("root"),
         F.when(F.col("_state") == "top", F.col("dist") + F.col("exit_w") + F.col("_dist")).when(F.col("_state").isNull(), F.col("dist")).alias("dist"),
         F.when(loops, "leads_to_cycle").otherwise("top").alias("state"), none.alias("target"), F.lit(None).cast("bigint").alias("exit_w"), none.alias("exit_low"), "low", F.when(loops, F.col("_top")).alias("cycle_top"),
-        F.when(F.col("_state") == "top", F.concat("_path", rest)).when(F.col("_state").isNull(), F.col("path")).alias("path"), no_ids.alias("exit_mid"),
+        F.when(F.col("_state") == "top", F.concat("_path", rest)).when(F.col("_state").isNull(), F.col("path")).alias("path"), no_ids.alias("exit_mid"), "loc",
     )
     # nodes of fragments that a cycle runs through
     on = upper.where("state = 'on_cycle'").select("job", "k")
@@ -312,7 +335,7 @@ def hierarchies(links: DataFrame, *, with_path: bool = False, ready: bool = Fals
     """
     job = F.coalesce(F.concat(F.lit("v"), F.col("job").cast("string")), F.lit("n"))
     rows = links.where("k is not null").select(job.alias("job"), "k", "p", F.lit(1).cast("bigint").alias("w"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("array<string>").alias("mid"), F.coalesce(F.col("loc").cast("bigint"), F.lit(0)).alias("loc"))
-    out = _solve(rows if ready else cut(rows), 0, piece_rows, with_path, broadcast_rows)
+    out = _solve(rows if ready else cut(rows), piece_rows, with_path, broadcast_rows)
     job = F.when(F.col("job") != "n", F.substring("job", 2, 2**31 - 1))
     return out.select(job.alias("job"), "k", "p", F.coalesce("root", "cycle_top").alias("top"), F.col("dist").alias("depth"), F.when(F.col("state") == "top", "tree").otherwise(F.col("state")).alias("state"), "path")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -17,6 +18,10 @@ from weftspan.runtime import cut
 from weftspan.sources import files
 
 
+#: The order in which records of a source arrive: by file, line and place in the document.
+ARRIVAL = ["_file", "_line", "_place"]
+
+
 @dataclass
 class Sequenced:
     pv: DataFrame
@@ -38,14 +43,18 @@ def traces_to_pv(spark: SparkSession, config: Config, ingest: bool = True, uniqu
         rows, rejected = files.read_spans(spark, config.source)
         rows = cut(rows)
         window = cleaning.time_window(rows, config.time_buffer) if config.time_buffer else None
-        spans = cleaning.first_records(rows, ["_file", "_line", "_place"]).drop("_file", "_line", "_place")
+        spans = cleaning.first_records(rows, ARRIVAL)
         if config.store:
-            spans.write.mode("append").parquet(config.store)
+            spans = cut(spans)
+            # a batch per source: the same source again replaces its batch, also after a run that broke off
+            batch = hashlib.md5(str(config.source.dirpath or config.source.filepath).encode()).hexdigest()
+            spans.write.mode("overwrite").parquet(f"{config.store}/_batch={batch}")
+        spans = spans.drop(*ARRIVAL)
     else:
         if not config.store:
             raise ValueError("without ingesting, a store is needed")
-        spans = spark.read.parquet(config.store)
-        spans = cleaning.first_records(spans, ["start_timestamp"])
+        stored = spark.read.option("basePath", config.store).parquet(f"{config.store}/_batch=*")
+        spans = cleaning.first_records(stored, ["_batch", *ARRIVAL]).drop("_batch", *ARRIVAL)
     spans = cut(cleaning.clean(cut(spans), window))
     if unique:
         chosen = fingerprint.unique_graphs(fingerprint.job_hashes(spans))

@@ -99,8 +99,8 @@ def pv_mapping_rename(spark: SparkSession, base: str) -> DataFrame:
 
 
 def sequence_documents(spark: SparkSession, base: str) -> DataFrame:
-    """Each job's events as one JSON array, numbered within the workflow."""
-    return files.sequence_documents(_pv(spark, base)).select("jobName", "jobId", "n", F.length("document").alias("n_characters"))
+    """Each job's events as JSON arrays, numbered within the workflow."""
+    return files.sequence_documents(_pv(spark, base))
 
 
 QUERIES = {f.__name__: f for f in (json_extract_spans, json_flat_values, json_sibling_arrays, json_array_values, json_records, pv_to_span, pv_mapping_rename, sequence_documents)}
@@ -121,5 +121,11 @@ x as (select o_orderkey, b, unnest(a) as x from o) select o_orderkey::varchar as
     "json_array_values": "select pv_id, array_to_string(list_filter(coalesce(previous_event_ids, []) || [event_id], lambda x: x is not null), ',') as ids from pv_events",
     "pv_to_span": _from_pv(f"""select d.event_id as span_id, nullif(split_part(prev_ids, ',', 1), '') as parent_span_id, epoch_us({_STAMP}) * 1000 as start_time_unix_nano,
   cast((row_number() over (partition by job_name order by t.job_id, {_STAMP}, d.event_id) - 1) // 50 as int) as file_no from done d join trees t on t.job_id = d.job_id and t.event_id = d.event_id"""),
+    "sequence_documents": _from_pv(f"""select "jobName", "jobId", n, part_no, '[' || string_agg(j, ',' order by ts, event_id) || ']' as document from (
+  select job_name as "jobName", t.job_id as "jobId", t.event_id, {_STAMP} as ts, dense_rank() over (partition by job_name order by t.job_id) as n,
+    (row_number() over (partition by job_name, t.job_id order by {_STAMP}, t.event_id) - 1) // 10000 as part_no,
+    to_json({{'jobId': t.job_id, 'eventId': t.event_id, 'timestamp': strftime({_STAMP}, '%Y-%m-%dT%H:%M:%S.%fZ'), 'previousEventIds': case when prev_ids = '' then []::varchar[] else string_split(prev_ids, ',') end,
+      'applicationName': application_name, 'jobName': job_name, 'eventType': event_type}})::varchar as j
+  from done d join trees t on t.job_id = d.job_id and t.event_id = d.event_id) group by all"""),
     "pv_mapping_rename": _from_pv(f"""select t.job_id as job, t.event_id as event, strftime({_STAMP}, '%Y-%m-%dT%H:%M:%S.%fZ') as "at", prev_ids as before, application_name as app, job_name as name, event_type as kind from done d join trees t on t.job_id = d.job_id and t.event_id = d.event_id"""),
 }

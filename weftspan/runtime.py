@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after its rows were counted and found to be at most this many.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only after it was measured and found to have at most so many rows, and bytes as JSON text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _folders: set[str] = set()
 
 
@@ -26,10 +26,16 @@ def epoch_us(df: DataFrame, name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This process's folder below the one the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """This process's folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set a temporary one is made, but only if the master is local: executors elsewhere could not share it.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftspan-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftspan-"))
     base = f"{sc._jsc.sc().getCheckpointDir().get()}/weftspan"
     if base not in _folders:
         _folders.add(base)
@@ -56,16 +62,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, salt: int = 16) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, salt: int = 16) -> DataFrame:
     """Join ``big`` with a table expected to be small.
 
-    The small side is counted first. Up to ``max_rows`` rows it is broadcast; beyond, both sides are shuffled on
-    ``on`` and a salt, the small side being repeated ``salt`` times, so that one hot key of ``big`` is spread. The salt
-    is a hash of the row, so that a task run again puts each row where it was. ``how`` is inner, left or left_semi.
+    The small side is measured first. Up to ``max_rows`` rows that take at most ``max_bytes`` as JSON text it is
+    broadcast; beyond, the join is :func:`join_spread`. ``how`` is inner, left or left_semi.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    some = small.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return join_spread(big, small, on, how, salt)
+
+
+def join_spread(big: DataFrame, other: DataFrame, on: list[str], how: str = "left", salt: int = 16) -> DataFrame:
+    """Join by shuffling both sides on ``on`` and a salt, so that one hot key of ``big`` is spread; ``other`` is repeated ``salt`` times.
+
+    The salt is a hash of the row, so that a task run again puts each row where it was.
+    """
+    salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     hashed = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(salt)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
