@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,13 +78,9 @@ def test_more_pieces_than_any_fixed_number(spark):
     assert got == {(j, k): (f"{k[:3]}.00", int(k[4:]), "tree", [f"{k[:3]}.{i:02d}" for i in range(int(k[4:]) + 1)]) for j, k, _, _ in rows}
 
 
-def test_pieces_hold_no_more_than_asked_for(spark, monkeypatch):
-    sizes = []
-    monkeypatch.setattr(hierarchy, "_solve_rows", lambda t, _: sizes.append(t.num_rows) or t.num_rows)
-    import pyarrow as pa
-
+def test_pieces_hold_no_more_than_asked_for():
     batches = [pa.RecordBatch.from_pydict({"k": list(range(n))}) for n in (3, 25, 10, 1)]
-    assert list(hierarchy._contract_runs(10, False)(iter(batches))) == [10, 10, 10, 9] == sizes
+    assert [t.num_rows for t in hierarchy.runs_of(iter(batches), 10)] == [10, 10, 10, 9]
 
 
 def test_doubling_by_joins(spark, monkeypatch):

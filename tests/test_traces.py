@@ -75,6 +75,9 @@ GROUPS = {"n": {"A": {"B": "g", "C": "g"}, "B": {"A": "x", "D": "x"}}}
 def test_sequencing_is_the_recursion(spark, seed, overlap, groups):
     rows = tree(seed)
     want = literal(rows, overlap, groups)
+    for size in (50_000, 5):  # by whole jobs, and by joins
+        got = {(r.job_id, r.event_id): r.previous for r in seq.with_predecessors(spans(spark, rows), overlap, groups, size).collect()}
+        assert got == want
     for wide in (100_000, 3):  # by windows, and the wider families over range partitions
         got = {(r.job_id, r.event_id): r.previous for r in seq.predecessors(spans(spark, rows), overlap, groups, wide).collect()}
         assert got == want
@@ -168,6 +171,31 @@ def test_fingerprints(spark):
     assert fingerprint.select_jobs(df, set(), None).count() == 7
 
 
+def hashed(rows):
+    """Hash of each top, by recursion; none in or behind rings."""
+    here, kids = {(r[0], r[2]) for r in rows}, {}
+    for r in rows:
+        kids.setdefault((r[0], r[5]) if (r[0], r[5]) in here else None, []).append(r)
+
+    def of(r):
+        return fingerprint.xx64(r[1] + "".join(sorted(of(c) for c in kids.get((r[0], r[2]), ()))))
+
+    return {(r[0], r[2]): of(r) for r in kids[None]}
+
+
+@pytest.mark.parametrize("size", [50_000, 7])
+def test_fingerprints_of_any_shape(spark, size):
+    rows = tree(5, 80) + [("j0", "A", "lost", 3, 4, "nowhere"), ("j1", "A", "ring1", 3, 4, "ring2"), ("j1", "A", "ring2", 3, 4, "ring1"), ("j1", "B", "behind", 3, 4, "ring1"), ("j2", "A", "self", 3, 4, "self")]
+    rows += [("deep", "AB"[i % 2], f"d{i:03d}", i, i, f"d{i - 1:03d}" if i else None) for i in range(60)]
+    got = {(r.job_id, r.top): r.tree_hash for r in fingerprint.tree_hashes(spans(spark, rows), piece_rows=size).collect()}
+    assert got == hashed(rows)
+
+
+def test_empty_tables_have_no_sequences_or_fingerprints(spark):
+    none = spans(spark, [])
+    assert seq.with_predecessors(none).count() == 0 and fingerprint.tree_hashes(none).count() == 0
+
+
 SEQ = "seq string, name string, event string, type string, previous array<string>"
 
 

@@ -1,22 +1,25 @@
 """Structural fingerprints of call trees, and the jobs that represent each structure.
 
 The fingerprint of a span is a hash of its type and of the sorted fingerprints of its children; it does not depend on
-ids, times or the order of children. Trees that fit one task are fingerprinted there, deepest spans first, wherever
-their job's other trees are; of larger trees each level is an aggregate, so no tree has to fit a task.
+ids, times or the order of children. Jobs that one task can hold are fingerprinted there after one shuffle, deepest spans
+first. Larger jobs lie in pieces by arrival: each round hashes, in every piece, the spans whose children are all known, and
+sends the hashes that leave the piece to the parents elsewhere. Rounds follow the pieces a path goes through, not its depth.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.operators.cleaning import jobs_in_window
-from weftspan.operators.hierarchy import PIECE_ROWS, hierarchies
-from weftspan.runtime import BROADCAST_ROWS, cut, join_small
+from weftspan.operators.hierarchy import PIECE_ROWS, by_size, double_pointers, lookup_parents, runs_of, whole_pieces
+from weftspan.runtime import cut, join_spread
 
 
 def xx64(text: str) -> str:
@@ -28,48 +31,117 @@ def _xx64_column(c: Column) -> Column:
     return F.udf(lambda text: None if text is None else xx64(text), "string", useArrow=True)(c)
 
 
-def _hash_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole trees, each tree's rows together and deepest first; yields the hash of each top."""
-    tree, kids, out = None, {}, ([], [], [])
-    for b in batches:
-        for j, top, k, p, kind, depth in zip(*(c.to_pylist() for c in b.columns)):
-            if (j, top) != tree:
-                tree, kids = (j, top), {}
-            h = xx64(kind + "".join(sorted(kids.pop(k, ()))))
-            if depth:
-                kids.setdefault(p, []).append(h)
-            else:
-                for col, v in zip(out, (j, top, h)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["job_id", "top", "tree_hash"])
-        out = ([], [], [])
-
-
-def tree_hashes(spans: DataFrame, piece_rows: int = PIECE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(job_id, top, tree_hash) of every tree; a job may have several. Spans in or behind rings have none."""
-    links = spans.select(F.col("job_id").alias("job"), F.col("event_id").alias("k"), F.col("parent_event_id").alias("p"), F.col("start_timestamp").alias("loc"))
-    solved = hierarchies(links, ready=True, piece_rows=piece_rows).where("state = 'tree'").select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("p").alias("parent"), "top", "depth")
-    rows = cut(solved.join(spans.select("job_id", "event_id", "event_type"), ["job_id", "event_id"]))
-    big = cut(rows.groupBy("job_id", "top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select("job_id", "top", F.lit(True).alias("_big")))
-    rows = join_small(rows, big, ["job_id", "top"], "left", broadcast_rows)
-    light = rows.where("_big is null").repartition("job_id", "top").sortWithinPartitions("job_id", "top", F.desc("depth"))
-    out = light.select("job_id", "top", "event_id", "parent", "event_type", "depth").mapInArrow(_hash_trees, "job_id string, top string, tree_hash string")
-    if big.isEmpty():
-        return out
-    heavy = cut(rows.where("_big").drop("_big"))
-    below = None
-    for depth in range(heavy.agg(F.max("depth")).first()[0], -1, -1):
-        level = heavy.where(F.col("depth") == depth)
-        if below is not None:
-            kids = below.groupBy("job_id", F.col("parent").alias("event_id")).agg(F.array_join(F.array_sort(F.collect_list("tree_hash")), "").alias("kids"))
-            level = level.join(kids, ["job_id", "event_id"], "left")
-        else:
-            level = level.withColumn("kids", F.lit(None).cast("string"))
-        hashed = level.select("job_id", "top", "event_id", "parent", "depth", _xx64_column(F.concat("event_type", F.coalesce("kids", F.lit("")))).alias("tree_hash"))
-        below = cut(hashed)
-        if depth == 0:
-            out = out.unionByName(below.select("job_id", "top", "tree_hash"))
-    return out
+class _Forest:
+    """Rows of one table as a forest, and the hashes of its spans."""
+
+    def __init__(self, t: pa.Table, memo: dict[str, str]) -> None:
+        k, p, job, kind = (t[c].combine_chunks() for c in ("event_id", "parent_event_id", "job_id", "event_type"))
+        n = t.num_rows
+        group = pc.fill_null(pc.cast(job.dictionary_encode().indices, pa.int64()), -1).to_numpy(zero_copy_only=False)
+        self.parent = lookup_parents(k, p, group)
+        _, depth, _, self.reached = double_pointers(self.parent, np.ones(n, np.int64), None)
+        self.memo, self.hash = memo, np.full(n, None, object)
+        kinds = kind.dictionary_encode()
+        self.kinds, self.code = kinds.dictionary.to_pylist(), kinds.indices.to_numpy(zero_copy_only=False)
+        self.kids = np.argsort(np.where(self.reached, self.parent, -1), kind="stable")
+        below = np.where(self.reached, self.parent, -1)[self.kids]
+        self.begin, self.end = np.searchsorted(below, np.arange(n)), np.searchsorted(below, np.arange(n), "right")
+        # deepest first
+        self.order = np.argsort(np.where(self.reached, -depth, 1), kind="stable")[: int(self.reached.sum())]
+
+    def of(self, text: str) -> str:
+        got = self.memo.get(text)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            got = self.memo[text] = xx64(text)
+        return got
+
+    def run(self, wanted: np.ndarray | None = None, known: list | None = None) -> None:
+        """Hash every span whose children all have hashes; ``wanted`` children each, of which ``known`` hashes are from elsewhere."""
+        leaf = [None] * len(self.kinds)
+        for i, a, z in zip(self.order.tolist(), self.begin[self.order].tolist(), self.end[self.order].tolist()):
+            code = self.code[i]
+            if a == z and wanted is None:
+                if leaf[code] is None:
+                    leaf[code] = self.of(self.kinds[code])
+                self.hash[i] = leaf[code]
+                continue
+            below = [h for h in self.hash[self.kids[a:z]].tolist() if h is not None]
+            if wanted is not None:
+                below += known[i] or ()
+                if len(below) < wanted[i]:
+                    continue
+            self.hash[i] = self.of(self.kinds[code] + "".join(sorted(below)))
+
+
+def _hash_jobs(piece_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        for t in whole_pieces(batches, piece_rows):
+            f = _Forest(t, memo)
+            f.run()
+            tops = np.flatnonzero((f.parent < 0) & f.reached)
+            out = t.select(["job_id", "event_id"]).take(pa.array(tops)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([out["job_id"].combine_chunks(), out["event_id"].combine_chunks(), pa.array(f.hash[tops].tolist(), pa.string())], names=["job_id", "top", "tree_hash"])
+
+    return run
+
+
+_PART = "job_id string, event_id string, parent_event_id string, event_type string, loc bigint, n_kids bigint, known array<string>, tree_hash string"
+
+
+def _hash_pieces(piece_rows: int):
+    """One round in every piece: unfinished spans with the hashes they know, and finished ones whose parent is elsewhere."""
+
+    def solve(t: pa.Table, memo: dict[str, str]) -> pa.RecordBatch:
+        f, known = _Forest(t, memo), t["known"].to_pylist()
+        f.run(t["n_kids"].to_numpy(), known)
+        done = np.array([h is not None for h in f.hash], bool)
+        for i in np.flatnonzero(done & (f.parent >= 0)).tolist():
+            up = int(f.parent[i])
+            if not done[up]:
+                known[up] = [*(known[up] or ()), f.hash[i]]
+        rows = np.flatnonzero(~done | (f.parent < 0))
+        out = t.drop_columns(["known"]).take(pa.array(rows))
+        columns = [*(c.combine_chunks() for c in out.columns), pa.array([None if done[i] else known[i] for i in rows], pa.list_(pa.string())), pa.array(f.hash[rows].tolist(), pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[*out.column_names, "known", "tree_hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        for t in runs_of(batches, piece_rows):
+            yield solve(t, memo)
+
+    return run
+
+
+def _heavy_hashes(rows: DataFrame, piece_rows: int) -> DataFrame:
+    """(job_id, top, tree_hash) of jobs of any size, in rounds over pieces."""
+    kids = rows.where("parent_event_id is not null").groupBy("job_id", F.col("parent_event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("n_kids"))
+    ids = rows.select("job_id", F.col("event_id").alias("parent_event_id"), F.lit(True).alias("_there"))
+    state = join_spread(rows, ids, ["job_id", "parent_event_id"], "left").withColumn("parent_event_id", F.when(F.col("_there"), F.col("parent_event_id")))
+    state = state.join(kids, ["job_id", "event_id"], "left").select("job_id", "event_id", "parent_event_id", "event_type", "loc", F.coalesce("n_kids", F.lit(0)).cast("bigint").alias("n_kids"), F.lit(None).cast("array<string>").alias("known"))
+    order, found = ("job_id", "loc", "event_id"), None
+    while True:
+        done = cut(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_hash_pieces(piece_rows), _PART))
+        tops = done.where("tree_hash is not null and parent_event_id is null").select("job_id", F.col("event_id").alias("top"), "tree_hash")
+        found = tops if found is None else found.unionByName(tops)
+        sent = done.where("tree_hash is not null and parent_event_id is not null").groupBy("job_id", F.col("parent_event_id").alias("event_id")).agg(F.collect_list("tree_hash").alias("new"))
+        if sent.isEmpty():  # the rest is in rings or above them
+            return found
+        none = F.array().cast("array<string>")
+        state = done.where("tree_hash is null").drop("tree_hash").join(sent, ["job_id", "event_id"], "left").withColumn("known", F.concat(F.coalesce("known", none), F.coalesce("new", none))).drop("new")
+
+
+def tree_hashes(spans: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(job_id, top, tree_hash) of every tree; a job may have several. Spans in or behind rings have none.
+
+    ``spans`` are read several times; they should come from a table.
+    """
+    rows = spans.select("job_id", "event_id", "parent_event_id", "event_type", F.coalesce(F.col("start_timestamp").cast("bigint"), F.lit(0)).alias("loc"))
+    light, heavy = by_size(rows, "job_id", piece_rows)
+    out = light.select("job_id", "event_id", "parent_event_id", "event_type", "piece").mapInArrow(_hash_jobs(piece_rows), "job_id string, top string, tree_hash string")
+    return out if heavy is None else out.unionByName(_heavy_hashes(cut(heavy), piece_rows))
 
 
 def job_hashes(spans: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def first_arrivals(df: DataFrame, key: Column, arrived: Column, tie: str, keep:
     return rows.where("k is not null").groupBy("k").agg(F.min("r").alias("r")).select("k", *[F.col(f"r.{n}").alias(n) for n in keep])
 
 
-def _double(parent: np.ndarray, weight: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+def double_pointers(parent: np.ndarray, weight: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
     """Pointer doubling. parent[i] < 0: i is a root. Returns ancestor, distance, least code on the way, and who reached a root.
 
     A round in which nobody newly reaches a root shows that the others never will: they are taken on alone, far enough
@@ -79,11 +79,11 @@ def _solve_rows(t: pa.Table, with_path: bool) -> pa.RecordBatch:
     k, p, job = (t[c].combine_chunks() for c in ("k", "p", "job"))
     split = t["split"].to_numpy(zero_copy_only=False) if n else np.empty(0, bool)
     group = pc.fill_null(pc.cast(job.dictionary_encode().indices, pa.int64()), -1).to_numpy(zero_copy_only=False)
-    parent = _lookup(k, p, group)
+    parent = lookup_parents(k, p, group)
     weight = t["w"].to_numpy()
     has_parent = pc.is_valid(p).to_numpy(zero_copy_only=False)
     exits = (parent < 0) & has_parent & split
-    anc, dist, _, done = _double(parent, weight, None)
+    anc, dist, _, done = double_pointers(parent, weight, None)
     low_text = pa.nulls(n, pa.string())
     cyclic, low = np.flatnonzero(~done), None
     if cyclic.size or split.any():
@@ -96,7 +96,7 @@ def _solve_rows(t: pa.Table, with_path: bool) -> pa.RecordBatch:
         codes = rank[coded.indices.to_numpy()]
         own = np.minimum(codes[:n], codes[n:])
         own = np.where(parent < 0, codes[:n], own)  # a root's link leaves the piece and counts with the exit
-        anc2, _, low, _ = _double(parent, weight, own.copy())
+        anc2, _, low, _ = double_pointers(parent, weight, own.copy())
         sorted_ids = pc.take(coded.dictionary, pa.array(order))
         low_text = pc.take(sorted_ids, pa.array(np.minimum(low, codes[:n][anc2])))
         anc = np.where(done, anc, anc2)
@@ -122,7 +122,7 @@ def _solve_rows(t: pa.Table, with_path: bool) -> pa.RecordBatch:
     ], schema=_OUT_ARROW)
 
 
-def _lookup(k: pa.Array, p: pa.Array, group: np.ndarray) -> np.ndarray:
+def lookup_parents(k: pa.Array, p: pa.Array, group: np.ndarray) -> np.ndarray:
     """Row of each node's parent, of the same group, or -1. Ids may recur in other groups."""
     n = len(k)
     ids = k.dictionary_encode()
@@ -162,51 +162,79 @@ def _paths(t: pa.Table, k: pa.Array, parent: np.ndarray, dist: np.ndarray, done:
     return pa.array(path, pa.list_(pa.string())), pa.array([mid[a] if e else None for a, e in zip(anc.tolist(), out_exit.tolist())], pa.list_(pa.string()))
 
 
+def whole_pieces(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[pa.Table]:
+    """Rows come sorted by ``piece``; tables of whole pieces, of about ``piece_rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        piece = batch["piece"].to_numpy()
+        cuts = np.flatnonzero(np.diff(piece)) + 1
+        if held and piece[0] != last:
+            cuts = np.insert(cuts, 0, 0)
+        begin = 0
+        for c in cuts.tolist():
+            if size + c - begin >= piece_rows:
+                held.append(batch.slice(begin, c - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, c
+        held.append(batch.slice(begin))
+        size += batch.num_rows - begin
+        last = piece[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _contract(piece_rows: int, with_path: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # rows come sorted by piece; whole pieces are solved once enough rows are held
-            piece = batch["piece"].to_numpy()
-            cuts = np.flatnonzero(np.diff(piece)) + 1
-            if held and piece[0] != last:
-                cuts = np.insert(cuts, 0, 0)
-            begin = 0
-            for c in cuts.tolist():
-                if size + c - begin >= piece_rows:
-                    held.append(batch.slice(begin, c - begin))
-                    yield _solve_rows(pa.Table.from_batches(held), with_path)
-                    held, size, begin = [], 0, c
-            held.append(batch.slice(begin))
-            size += batch.num_rows - begin
-            last = piece[-1]
-        if held:
-            yield _solve_rows(pa.Table.from_batches(held), with_path)
+        for t in whole_pieces(batches, piece_rows):
+            yield _solve_rows(t, with_path)
 
     return run
 
 
-def _contract_runs(piece_rows: int, with_path: bool):
+def mark_jobs(rows: DataFrame, jobs: DataFrame, job: str, mark: str, few: int = 1000, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds whether the job is among ``jobs``: by a list of values if they are few, else by a join."""
+    values = [r[0] for r in jobs.select(job).limit(few + 1).collect()]
+    if len(values) <= few:
+        return rows.withColumn(mark, F.coalesce(F.col(job).isin(values), F.lit(False)))
+    return join_small(rows, jobs.select(job, F.lit(True).alias(mark)), [job], "left", broadcast_rows).withColumn(mark, F.coalesce(mark, F.lit(False)))
+
+
+def by_size(rows: DataFrame, job: str = "job_id", piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of jobs that one task can hold, placed so that each partition has whole jobs, with ``piece`` to read them by
+    (:func:`whole_pieces`), and those of larger jobs, or None. ``rows`` are read twice; they should come from a table."""
+    big = cut(rows.groupBy(job).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > piece_rows).select(job))
+    heavy = None
+    if not big.isEmpty():
+        marked = mark_jobs(rows, big, job, "_big")
+        rows, heavy = marked.where("not _big").drop("_big"), marked.where("_big").drop("_big")
+    return rows.withColumn("piece", F.xxhash64(job)).repartition("piece").sortWithinPartitions("piece"), heavy
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], piece_rows: int) -> Iterator[pa.Table]:
     """Rows come in the order of arrival; every ``piece_rows`` of them are a piece."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        at = 0
+        while size + batch.num_rows - at >= piece_rows:
+            held.append(batch.slice(at, piece_rows - size))
+            at += piece_rows - size
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            size += batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
 
+
+def _contract_runs(piece_rows: int, with_path: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            at = 0
-            while size + batch.num_rows - at >= piece_rows:
-                held.append(batch.slice(at, piece_rows - size))
-                at += piece_rows - size
-                yield _solve_rows(pa.Table.from_batches(held), with_path)
-                held, size = [], 0
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-                size += batch.num_rows - at
-        if held:
-            yield _solve_rows(pa.Table.from_batches(held), with_path)
+        for t in runs_of(batches, piece_rows):
+            yield _solve_rows(t, with_path)
 
     return run
 
@@ -215,11 +243,8 @@ _IN = ("job", "k", "p", "w", "low", "mid", "loc", "split")
 
 
 def _place(links: DataFrame, hot: DataFrame | None, with_path: bool, piece_rows: int, broadcast_rows: int) -> DataFrame:
-    if hot is not None:
-        links = join_small(links, hot.withColumn("split", F.lit(True)), ["job"], "left", broadcast_rows)
-    else:
-        links = links.withColumn("split", F.lit(None).cast("boolean"))
-    whole = links.where("split is null").withColumn("split", F.lit(False)).withColumn("piece", F.xxhash64("job"))
+    links = mark_jobs(links, hot, "job", "split", broadcast_rows=broadcast_rows) if hot is not None else links.withColumn("split", F.lit(False))
+    whole = links.where("not split").withColumn("piece", F.xxhash64("job"))
     # equal pieces of two groups are told apart in the contraction
     out = whole.repartition("piece").sortWithinPartitions("piece").select(*_IN, "piece").mapInArrow(_contract(piece_rows, with_path), _OUT)
     if hot is None:

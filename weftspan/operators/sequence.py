@@ -6,6 +6,9 @@ group. The first part is a window over siblings; the nearest such ancestor is th
 links from members of first groups are kept, which :mod:`weftspan.operators.hierarchy` finds at any depth without
 recursion.
 
+Jobs that one task can hold, which is nearly all, are sequenced by arithmetic on whole jobs after one shuffle by job
+(:func:`_sequence_jobs`); larger ones by joins and windows (:func:`predecessors`), with the same results.
+
 Groups hold one span each, those that overlap in time (``overlap``), or those that configuration puts together
 (``groups``: job name -> parent type -> child type -> group). Ties in start go by event id.
 """
@@ -15,13 +18,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftspan.operators.cleaning import disconnected_jobs, root_counts
-from weftspan.operators.hierarchy import hierarchies
+from weftspan.operators.hierarchy import PIECE_ROWS, by_size, double_pointers, hierarchies, lookup_parents, whole_pieces
 from weftspan.runtime import BROADCAST_ROWS, cut, join_small
 
 Groups = dict[str, dict[str, dict[str, str]]]
@@ -173,6 +179,109 @@ def predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None
     return out.select("job_id", "event_id", F.coalesce("own", "inherited", none).alias("previous"))
 
 
+def _sequence_jobs(t: pa.Table, overlap: bool, config: dict[tuple[str, str, str], str]) -> pa.RecordBatch:
+    """Rows of whole jobs -> those of jobs that are single trees, with ``previous``."""
+    n = t.num_rows
+    k, p, job, kind = (t[c].combine_chunks() for c in ("event_id", "parent_event_id", "job_id", "event_type"))
+    group = job.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    parent, has_parent = lookup_parents(k, p, group), pc.is_valid(p).to_numpy(zero_copy_only=False)
+    reached = double_pointers(parent, np.ones(n, np.int64), None)[3]
+    per_job = lambda rows: np.bincount(group[rows], minlength=group.max(initial=-1) + 1)
+    single = (per_job(~has_parent) == 1) & (per_job((has_parent & (parent < 0)) | ~reached) == 0)
+    good = single[group]
+    rank = np.empty(n, np.int64)
+    rank[pc.sort_indices(k).to_numpy()] = np.arange(n)
+    start, end = (t[c].to_numpy() for c in ("start_timestamp", "end_timestamp"))
+
+    kid = np.flatnonzero(good & (parent >= 0))
+    kid = kid[np.lexsort((rank[kid], start[kid], parent[kid]))]
+    bundle = np.arange(kid.size)  # kids that configuration puts together
+    if config:
+        bundle = bundle + _labels(t["job_name"].combine_chunks(), kind, kid, parent[kid], config, bundle)
+        kid, bundle = (x[np.lexsort((np.arange(kid.size), bundle, parent[kid]))] for x in (kid, bundle))
+    opens = _changes(parent[kid], bundle)
+    first, member = np.flatnonzero(opens), np.cumsum(opens) - 1
+    last = np.append(first[1:], kid.size)[: first.size] - 1
+    lead = kid[first]
+    order = np.lexsort((rank[lead], start[lead], parent[lead]))
+    of_parent, starts, ends = parent[lead][order], start[lead][order], end[kid[last]][order]
+    new_parent = _changes(of_parent)
+    begins = new_parent.copy()
+    # a new group begins where the last span of the group before has ended; touching times overlap
+    begins[1:] |= (ends[:-1] < starts[1:]) if overlap else True
+    group_no = np.cumsum(begins) - 1
+    place = np.empty(order.size, np.int64)
+    place[order] = group_no
+    of_kid, heads = place[member], np.flatnonzero(begins)
+    is_first, parent_of = new_parent[heads], of_parent[heads]
+    is_last = np.append(parent_of[1:] != parent_of[:-1], True)[: heads.size]
+    ids = pc.take(k, pa.array(kid[np.lexsort((rank[kid], of_kid))]))
+    sizes = np.bincount(of_kid, minlength=heads.size)
+    offsets = np.cumsum(sizes) - sizes
+
+    before, own = np.full(n, -1), np.full(n, -1)
+    before[kid] = np.where(is_first[of_kid], -1, of_kid - 1)
+    own[parent_of[is_last]] = np.flatnonzero(is_last)
+    # the nearest of itself and its ancestors that is not in a first group
+    at = np.where((before >= 0) | (parent < 0), np.arange(n), parent)
+    for _ in range(int(np.ceil(np.log2(n + 1))) + 1):
+        further = at[at]
+        if (further == at).all():
+            break
+        at = further
+    rows = np.flatnonzero(good)
+    chosen = np.where(own >= 0, own, before[at])[rows]
+    size = np.where(chosen >= 0, sizes[chosen] if sizes.size else 0, 0)
+    begin = np.where(chosen >= 0, offsets[chosen] if sizes.size else 0, 0)
+    every = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    previous = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pc.take(ids, pa.array(every, pa.int64())))
+    out = t.drop_columns(["piece"]).take(pa.array(rows)).combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns]
+    return pa.RecordBatch.from_arrays([*columns, previous], names=[*out.column_names, "previous"])
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first row does."""
+    out = np.ones(columns[0].size, bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _labels(names: pa.Array, kinds: pa.Array, kid: np.ndarray, parent: np.ndarray, config: dict[tuple[str, str, str], str], bundle: np.ndarray) -> np.ndarray:
+    """What to add to ``bundle`` so that kids of one configured group have one number, which is negative."""
+    name, kind = names.dictionary_encode(), kinds.dictionary_encode()
+    name_no, kind_no = name.indices.to_numpy(zero_copy_only=False).astype(np.int64), kind.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = len(kind.dictionary)
+    combined = (name_no[kid] * width + kind_no[parent]) * width + kind_no[kid]
+    found, back = np.unique(combined, return_inverse=True)
+    all_names, all_kinds, number = name.dictionary.to_pylist(), kind.dictionary.to_pylist(), {}
+    label = np.zeros(found.size, np.int64)
+    for i, x in enumerate(found.tolist()):
+        together = config.get((all_names[x // width // width], all_kinds[x // width % width], all_kinds[x % width]))
+        if together is not None:
+            label[i] = -1 - number.setdefault(together, len(number))
+    return np.where(label[back] < 0, label[back] - bundle, 0)
+
+
+def with_predecessors(spans: DataFrame, overlap: bool = False, groups: Groups | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """``spans`` of the jobs that are single trees, with ``previous``: sorted ids of what precedes each.
+
+    ``spans`` are read several times; they should come from a table.
+    """
+    light, heavy = by_size(spans, "job_id", piece_rows)
+    config = {(j, a, c): g for j, kinds in (groups or {}).items() for a, kids in kinds.items() for c, g in kids.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_pieces(batches, piece_rows):
+            yield _sequence_jobs(t, overlap, config)
+
+    out = light.mapInArrow(run, T.StructType([*spans.schema.fields, T.StructField("previous", T.ArrayType(T.StringType()))]))
+    if heavy is not None:
+        trees = cut(single_trees(cut(heavy)))
+        out = out.unionByName(trees.join(predecessors(trees, overlap, groups), ["job_id", "event_id"]).select(*spans.columns, "previous"))
+    return out
+
+
 def rename_by_children(spans: DataFrame, renames: Renames, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rename a span whose type is configured if any of its children is of a listed type.
 
@@ -191,11 +300,9 @@ def sequence(spans: DataFrame, overlap: bool = False, groups: Groups | None = No
     """PV events of every job that is a single tree; ``strict`` raises ValueError if some job is not."""
     if strict and (bad := rejected_jobs(spans).first()):
         raise ValueError(f"job {bad.job_id}: {bad.reason}")
-    trees = cut(single_trees(spans))
     if renames:
-        trees = cut(rename_by_children(trees, renames))
-    out = trees.join(predecessors(trees, overlap, groups), ["job_id", "event_id"])
-    return out.select(
+        spans = cut(rename_by_children(spans, renames))
+    return with_predecessors(spans, overlap, groups).select(
         F.col("job_id").alias("jobId"), F.col("event_id").alias("eventId"), F.col("event_type").alias("eventType"), pv_timestamp(F.col("end_timestamp")).alias("timestamp"),
         F.col("application_name").alias("applicationName"), F.col("job_name").alias("jobName"), F.col("previous").alias("previousEventIds"),
     )

@@ -129,8 +129,8 @@ def tree_shapes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _sequenced(spark: SparkSession, base: str, **how) -> DataFrame:
-    trees = cut(seq.single_trees(_clean(spark, base)))
-    return seq.predecessors(trees, **how).select("job_id", "event_id", F.array_join("previous", ",").alias("prev_ids"))
+    spans = _clean(spark, base).select("job_id", "event_id", "parent_event_id", "event_type", "job_name", "start_timestamp", "end_timestamp")
+    return seq.with_predecessors(spans, **how).select("job_id", "event_id", F.array_join("previous", ",").alias("prev_ids"))
 
 
 def seq_sync(spark: SparkSession, base: str) -> DataFrame:
