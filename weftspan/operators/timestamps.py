@@ -29,6 +29,7 @@ the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
@@ -69,11 +70,11 @@ _LAYOUTS = {
 }
 
 
-def abbreviations(zone: str) -> dict[str, int]:
+def abbreviations(zone: str, months: Iterable[int] = range(1, 13)) -> dict[str, int]:
     """Zone abbreviations of an IANA zone with their offsets in seconds; the latest meaning of each counts."""
     z, out = ZoneInfo(zone), {"GMT": 0, "UTC": 0, "UT": 0}
     for year in range(1990, 2038):
-        for month in range(1, 13):
+        for month in months:
             t = datetime(year, month, 15, tzinfo=UTC).astimezone(z)
             name = t.tzname() or ""
             if name.isalpha() and name not in ("GMT", "UTC", "UT"):

@@ -71,7 +71,8 @@ def json_array_values(spark: SparkSession, base: str) -> DataFrame:
 def json_records(spark: SparkSession, base: str) -> DataFrame:
     """Spans of all raw records whose mapping has arrays throughout, by columns alone; ids and types."""
     rows = table(spark, base, "field_mappings").where("field_name in ('event_id', 'event_type')").orderBy("mapping_id", "part_no", "fallback_rank").collect()  # a fixed, small table
-    docs, out = table(spark, base, "otel_records"), None
+    # one pass lays the records out by mapping, so that each mapping's columns read only its own
+    docs, out = cut(table(spark, base, "otel_records").select("raw_id", "payload", "mapping_id"), "mapping_id"), None
     for m in sorted({r.mapping_id for r in rows}):
         fields = {}
         for name in ("event_id", "event_type"):

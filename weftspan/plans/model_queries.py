@@ -163,6 +163,10 @@ e as (select name, src_type as src, dst_type as dst from links union all select
 flat as (select seq, event, unnest(previous) as prev from kept), walk as (select * from flat union select w.seq, w.event, p.prev from walk w join (select seq, event, unnest(previous) as prev from gone) p on p.seq = w.seq and p.event = w.prev),
 ends as (select w.seq, w.event, string_agg(prev, ',' order by prev) as prev_ids from walk w where not exists (select 1 from gone g where g.seq = w.seq and g.event = w.prev) group by 1, 2)
 select k.seq, k.event, coalesce(prev_ids, '') as prev_ids from kept k left join ends e on e.seq = k.seq and e.event = k.event""",
+    "model_documents": _W + """, texts as (select job_name, event_type, direction, s, '[' || array_to_string(list_transform(s, lambda x: '{"eventType":' || to_json(x.t) || ',"count":' || x.n || '}'), ',') || ']' as j from model where len(s) > 0),
+sides as (select job_name, event_type, coalesce(string_agg(j, ',' order by s) filter (direction = 'out'), '') as o, coalesce(string_agg(j, ',' order by s) filter (direction = 'in'), '') as i
+  from (select distinct job_name, event_type from model) left join texts using (job_name, event_type) group by 1, 2)
+select job_name, '{"job_name":' || to_json(job_name) || ',"events":[' || string_agg('{"eventType":' || to_json(event_type) || ',"outgoingEventSets":[' || o || '],"incomingEventSets":[' || i || ']}', ',' order by event_type) || ']}' as model from sides group by 1""",
     "reachability": _R + " select * from reach", "scc_nodes": _R + " select * from scc", "loop_start_nodes": _R + " select * from starts",
     "loop_edges": _R + " select e.* from edges e join scc a on a.job_name = e.job_name and a.node = e.src join scc b on b.job_name = e.job_name and b.node = e.dst and a.scc = b.scc join starts s on s.job_name = e.job_name and s.node = e.dst",
 }
