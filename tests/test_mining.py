@@ -37,6 +37,30 @@ def test_round_trip(name):
         assert D.canonical(got) == D.canonical(want)
 
 
+J, K, M, P, Q = map(D.Act, "JKMPQ")
+#: Diagrams that need to know what was seen before an event, or that end paths within a block.
+BEFORE = {
+    "an event of its own in each path": [A, N([B, C], [E, C], [F, C]), G], "the same with a path that ends": [A, N([B, C], [E, C], [F, C], [H, GONE]), G], "the same in an or": [A, O([B, C], [E, C], [F, C]), G],
+    "paths with a common tail": [A, X([B], [C, E, B]), F, G], "one path of a block goes on": [A, L(B, N([C], [E, GONE], [F, GONE]), G), H], "branch of a branch": [A, D.Act("B", True), D.Act("C", True), E],
+    "what comes after the loop, also beside it": [A, L(J, N([B], [C], [H, I, K, GONE], [I, K, GONE]), E, F), G, H, I, K], "branch at the end of a loop": [A, L(D.Act("B", True)), C],
+}
+
+
+@pytest.mark.parametrize("name", BEFORE)
+def test_structure_by_what_came_before(name):
+    want = BEFORE[name]
+    runs = D.runs(want) if name != "branch at the end of a loop" else D.runs([A, L(B), D.Act("B", True), C])
+    got = diagram_of(D.model_of(runs, START_EVENT), D.before_of(runs))
+    assert D.canonical(got) == D.canonical(want)
+
+
+def test_loop_left_by_ways_of_which_one_leads_into_another():
+    want = [A, L(B, X([C], [E, F, G, STOP], [F, G, STOP]))]
+    runs = D.runs(want)
+    got = diagram_of(D.model_of(runs, START_EVENT), D.before_of(runs))
+    assert D.model_of(D.runs(got), START_EVENT) == D.model_of(runs, START_EVENT) and "break" in D.canonical(got)
+
+
 @pytest.mark.parametrize("name", DIAGRAMS)
 def test_order_of_data_plays_no_part(name):
     runs = D.runs(DIAGRAMS[name])

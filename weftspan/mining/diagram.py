@@ -192,8 +192,11 @@ def runs(items: list, branch_counts: tuple[int, ...] = (2, 3)) -> list[Run]:
         if isinstance(x, Act):
             step = [Run(((x.name, frozenset({-1})),), frozenset({0}))]
             if x.branch and i < len(items):
-                after = runs([items[i]], branch_counts)
+                begin = i
+                while i + 1 < len(items) and isinstance(items[i], Act) and items[i].branch:
+                    i += 1
                 i += 1
+                after = runs(items[begin:i], branch_counts)
                 step = [s.then(_beside(c)) for s in step for n in branch_counts for c in itertools.combinations_with_replacement(after, n)]
         elif isinstance(x, Stop):
             step = [Run(status=x.how)]
@@ -221,6 +224,16 @@ def events_of(items: list, job_name: str = "job", application: str = "app", star
     return out
 
 
+def before_of(all_runs: list[Run]) -> dict[str, set[Multiset]]:
+    """What is seen before each type."""
+    out: dict[str, set[Multiset]] = {}
+    for run in all_runs:
+        for kind, before in run.events:
+            if kinds := [run.events[b][0] for b in before if b >= 0]:
+                out.setdefault(kind, set()).add(multiset(kinds))
+    return out
+
+
 def model_of(all_runs: list[Run], start: str) -> dict[str, set[Multiset]]:
     """Followers of each type as the model holds them, with an artificial start."""
     model: dict[str, set[Multiset]] = {start: set()}

@@ -85,6 +85,7 @@ def _collapse(sets: Model, nodes: set[str], names: set[str], loops: dict[str, Lo
     beyond = after | g.reach(after) if after else set()
     # nodes on ways out that join what comes after the loop, or end there, belong to the iteration
     aside: set[str] = set()
+    last: set[str] = set()  # events that end a way out within the loop
     for x in sorted(parts.exits - parts.ends):
         for b in g.succ[x] - nodes:
             straddles = any(b in types(s) and types(s) & nodes for s in sets[x])
@@ -96,11 +97,15 @@ def _collapse(sets: Model, nodes: set[str], names: set[str], loops: dict[str, Lo
         # the loop is only left by breaking off: the ways out are what comes after it
         after = followers_outside(parts.exits, nodes, g)
         beyond, aside = after | g.reach(after), set()
+        if END_EVENT not in beyond and any(a in g.reach(b) for a in after for b in after - {a}):
+            # one way out leads into another: where the loop is left cannot be one place after it
+            beyond, aside, after = set(), beyond, set()
+            last = {n for n in aside if not g.succ[n]}
     inner = nodes | aside
     name = _free_name(names, LOOP_EVENT)
     names.add(name)
     body: Model = {START_EVENT: set(), END_EVENT: set()}
-    breaks: set[str] = set()
+    breaks: set[str] = set(last)
     dummy = _free_name(names, DUMMY_BREAK_EVENT)
     outs: set[Multiset] = set()
     for n in sorted(inner):
@@ -120,8 +125,12 @@ def _collapse(sets: Model, nodes: set[str], names: set[str], loops: dict[str, Lo
             elif n in aside:
                 breaks.add(n)
                 outs.add(only(s, kinds - inner))
-            elif kept := only(s, inner):
-                own.add(kept)
+            elif only(s, inner):
+                # what goes on beside the iteration and is not part of it ends there: a copy of its way
+                own.add(s)
+                for x in kinds - inner:
+                    for y in ({x} | g.reach(x)) - inner:
+                        body.setdefault(y, set()).update(kept for z in sets[y] if (kept := only(z, types(z) - {END_EVENT})))
             else:
                 names.add(dummy)
                 body[dummy] = set()
@@ -138,7 +147,7 @@ def _collapse(sets: Model, nodes: set[str], names: set[str], loops: dict[str, Lo
     new: Model = {}
     for n, seen in sets.items():
         if n not in inner:
-            new[n] = {tuple(sorted([*((t, c) for t, c in s if t not in inner), (name, 1)])) if types(s) & inner else s for s in seen}
+            new[n] = {tuple(sorted([*((t, c) for t, c in s if t not in inner), (name, max(c for t, c in s if t in inner))])) if types(s) & inner else s for s in seen}
     new[name] = {s for s in outs if s}
     loops[name] = LoopBody(find_loops(body, names), breaks)
     return new

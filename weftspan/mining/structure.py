@@ -8,7 +8,7 @@ block of the same kind; a path that never gets there is detached, or breaks off
 from __future__ import annotations
 
 from weftspan.mining.diagram import BREAK, DETACH, Act, Block, Loop, Stop, write
-from weftspan.mining.gates import BRANCH, LEAF, NONE, Gate, infer
+from weftspan.mining.gates import BRANCH, LEAF, NONE, XOR, Gate, infer
 from weftspan.mining.graph import Graph
 from weftspan.mining.loops import Model, Workflow, find_loops
 from weftspan.schemas import DUMMY_BREAK_EVENT, END_EVENT, START_EVENT
@@ -34,9 +34,17 @@ def joined(flow: Workflow) -> Workflow:
     return Workflow(sets, flow.loops)
 
 
+def _branch_after(items: list) -> None:
+    """Mark the last event, also where it ends a loop, as one after which paths multiply."""
+    if items and isinstance(items[-1], Act):
+        items[-1].branch = True
+    elif items and isinstance(items[-1], Loop):
+        _branch_after(items[-1].body)
+
+
 class _Builder:
-    def __init__(self, flow: Workflow, breaks: set[str]) -> None:
-        self.flow, self.breaks = joined(flow), breaks
+    def __init__(self, flow: Workflow, breaks: set[str], before: Model) -> None:
+        self.flow, self.breaks, self.before = joined(flow), breaks, before
         self.g: Graph = self.flow.graph()
         self.rank = self.g.order()
         self.after = {n: {n} | self.g.reach(n) for n in self.g}
@@ -60,22 +68,21 @@ class _Builder:
         if node in _ARTIFICIAL or node.startswith((DUMMY_BREAK_EVENT, JOIN)):
             return
         body = self.flow.loops.get(node)
-        out.append(Loop(build(body.model, body.breaks)) if body else Act(node))
+        out.append(Loop(build(body.model, body.breaks, self.before)) if body else Act(node))
 
     def follow(self, gate: Gate, stop: str | None, out: list) -> str | None:
         """Append the block of a gate; returns the node to go on with."""
         if gate.kind == BRANCH:
-            if out and isinstance(out[-1], Act):
-                out[-1].branch = True
+            _branch_after(out)
             gate = gate.children[0]
         if gate.kind == LEAF:
             return gate.label
         if gate.kind == NONE:
             return None
         children = list(gate.children)
-        merge = self.merge_of(children, stop)
+        merge = self.merge_of(gate.kind, children, stop)
         # paths that come together before all of them do
-        while early := self.early_merge(children, merge):
+        while early := self.early_merge(gate.kind, children, merge):
             x, inside = early
             children = [c for c in children if c not in inside] + [Gate(gate.kind, inside, f"\0{x}")]
         block = Block(gate.kind)
@@ -117,36 +124,49 @@ class _Builder:
                 return False
         return True
 
-    def merge_of(self, children: list[Gate], stop: str | None) -> str | None:
+    def _meets(self, kind: str, node: str) -> bool:
+        """Whether paths that run side by side come together in one such event; each may have one of its own instead."""
+        seen = self.before.get(node)
+        return kind == XOR or not seen or any(sum(n for _, n in s) > 1 for s in seen)
+
+    def _beyond(self, gate: Gate, stop: str) -> str:
+        """Where a block ends of which one path alone goes on: after that path's first event."""
+        after = infer(self.flow.sets[gate.label]) if gate.kind == LEAF else None
+        return after.label if after is not None and after.kind == LEAF else stop
+
+    def merge_of(self, kind: str, children: list[Gate], stop: str | None) -> str | None:
         reach = [self.reach_of(c) for c in children if c.kind != NONE]
         if any(c.kind == NONE for c in children):
             return stop
         if stop is not None:
             going = [(c, r) for c, r in zip(children, reach) if stop in r]
             if len(going) < 2:
-                return stop
+                breaks = any(x in self.breaks or x.startswith(DUMMY_BREAK_EVENT) for r in reach for x in r)
+                return self._beyond(going[0][0], stop) if going and not breaks else stop
         else:
             shared = [any(r & q for j, q in enumerate(reach) if j != i) for i, r in enumerate(reach)]
             going = [(c, r) for c, r, s in zip(children, reach, shared) if s]
             if not going:
                 return None
-        common = sorted(set.intersection(*(r for _, r in going)), key=self.rank.get)
-        return next((n for n in common if all(self._through(c, n, stop) for c, _ in going)), stop)
+        # every path has an event of its own before they come together
+        own = {x for c, _ in going for x in c.leaves()}
+        common = sorted(set.intersection(*(r for _, r in going)) - own, key=self.rank.get)
+        return next((n for n in common if self._meets(kind, n) and all(self._through(c, n, stop) for c, _ in going)), stop)
 
-    def early_merge(self, children: list[Gate], merge: str | None) -> tuple[str, list[Gate]] | None:
+    def early_merge(self, kind: str, children: list[Gate], merge: str | None) -> tuple[str, list[Gate]] | None:
         """A node, and at least two but not all of the children, that come together there before the merge."""
         last = self.rank[merge] if merge is not None else len(self.rank)
-        for x in sorted((n for n in self.rank if self.rank[n] < last), key=self.rank.get):
+        for x in sorted((n for n in self.rank if self.rank[n] < last and self._meets(kind, n)), key=self.rank.get):
             inside = [c for c in children if c.kind != NONE and x in self.reach_of(c) and self._through(c, x, merge)]
             whole = [c for c in children if c.kind != NONE and x in self.reach_of(c)]
-            if 1 < len(inside) < len(children) and len(whole) == len(inside):
+            if 1 < len(inside) < len(children) and len(whole) == len(inside) and not any(x in c.leaves() for c in inside):
                 return x, inside
         return None
 
 
-def build(flow: Workflow, breaks: set[str] = frozenset()) -> list:
-    """The diagram of a workflow, or of the body of a loop."""
-    b = _Builder(flow, breaks)
+def build(flow: Workflow, breaks: set[str] = frozenset(), before: Model | None = None) -> list:
+    """The diagram of a workflow, or of the body of a loop; ``before`` has what was seen before each type, if it is known."""
+    b = _Builder(flow, breaks, before or {})
     stop = END_EVENT if END_EVENT in b.g else None
     if START_EVENT in b.g:
         return b.from_node(START_EVENT, stop)
@@ -154,12 +174,12 @@ def build(flow: Workflow, breaks: set[str] = frozenset()) -> list:
     return b.from_node(roots[0], stop) if len(roots) == 1 else b.from_node(min(b.g), stop) if roots else []
 
 
-def diagram_of(sets: Model) -> list:
-    return build(find_loops(sets))
+def diagram_of(sets: Model, before: Model | None = None) -> list:
+    return build(find_loops(sets), before=before)
 
 
-def puml_of(sets: Model, name: str = "default_name") -> str:
+def puml_of(sets: Model, name: str = "default_name", before: Model | None = None) -> str:
     """Diagram text of a model: gates, loops and structure inferred."""
-    return write(diagram_of(sets), name)
+    return write(diagram_of(sets, before), name)
 
 

@@ -10,21 +10,27 @@ from weftspan.mining import gates, structure
 from weftspan.operators import event_sets as es
 
 
-def _sets(rows: pd.DataFrame) -> dict[str, set]:
+def _sets(rows: pd.DataFrame) -> tuple[dict[str, set], dict[str, set]]:
+    """What follows and what precedes each type."""
     out: dict[str, set] = {}
+    before: dict[str, set] = {}
     for kind, direction, found in zip(rows["event_type"], rows["direction"], rows["event_set"]):
         own = out.setdefault(kind, set())
-        if direction == "out" and len(found):
-            own.add(tuple((x["eventType"], int(x["count"])) for x in found))
+        seen = tuple((x["eventType"], int(x["count"])) for x in found)
+        if direction == "out" and seen:
+            own.add(seen)
             for x in found:
                 out.setdefault(x["eventType"], set())
-    return out
+        elif seen:
+            before.setdefault(kind, set()).add(seen)
+    return out, before
 
 
 def _diagram(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     name = key[0] if key[0] is not None else "unnamed"
     try:
-        return pd.DataFrame({"job_name": [key[0]], "puml": [structure.puml_of(_sets(rows), name)], "error": [None]})
+        after, before = _sets(rows)
+        return pd.DataFrame({"job_name": [key[0]], "puml": [structure.puml_of(after, name, before)], "error": [None]})
     except (RecursionError, ValueError) as e:
         return pd.DataFrame({"job_name": [key[0]], "puml": [None], "error": [f"{type(e).__name__}: {e}"]})
 
