@@ -37,3 +37,12 @@ def test_cover():
 def test_order_of_sets_plays_no_part():
     sets = ["AB", "BC", "CD", "A", "ABD"]
     assert len({gate(*p) for p in itertools.permutations(sets)}) == 1
+
+
+def test_constant_counts_as_copies():
+    from weftspan.mining.gates import with_copies
+
+    sets = {(("B", 1), ("C", 2))}
+    assert with_copies(infer(sets), sets).text() == "AND(B,C,C)"
+    some = {(("C", 2),), (("C", 3),)}
+    assert with_copies(infer(some), some).text() == infer(some).text()

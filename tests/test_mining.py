@@ -104,6 +104,16 @@ def test_simulated_events():
     assert len({e["jobId"] for e in D.events_of([A, X([B], [C])], "j")}) == 2
 
 
+@pytest.mark.parametrize("name", ["xor in and", "or in and", "loop in loop", "break", "branch before", "detach in and", "three blocks"])
+def test_runs_by_chance_leave_the_diagram_as_it_is(name):
+    want, rnd = DIAGRAMS[name], random.Random(2)
+    chance = [D.random_run(want, rnd) for _ in range(30)]
+    every = D.runs(want)
+    got = diagram_of(D.model_of([*every, *chance], START_EVENT), D.before_of([*every, *chance]))
+    assert D.canonical(got) == D.canonical(diagram_of(D.model_of(every, START_EVENT), D.before_of(every)))
+    assert len(D.events_of(want, more=5)) > len(D.events_of(want))
+
+
 def test_loop_components_of_a_nested_graph():
     # entered at D, E, F; I and H lead back, and to each other
     g = Graph([("S", "D"), ("S", "E"), ("S", "F"), ("D", "G"), ("E", "G"), ("F", "G"), ("G", "H"), ("G", "I"), ("I", "F"), ("H", "E"), ("H", "D"), ("I", "H"), ("H", "I"), ("H", "O"), ("I", "O"), ("G", "M"), ("M", "O")])

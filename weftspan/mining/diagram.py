@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -215,10 +216,39 @@ def runs(items: list, branch_counts: tuple[int, ...] = (2, 3)) -> list[Run]:
     return list(dict.fromkeys(out))
 
 
-def events_of(items: list, job_name: str = "job", application: str = "app", start: str = "2024-01-01T00:00:00.000000Z") -> list[dict]:
-    """PV events of every run of a diagram, each run a job of its own."""
-    out = []
-    for j, run in enumerate(runs(items)):
+def random_run(items: list, rnd: random.Random, again: float = 0.5) -> Run:
+    """One way through a diagram by chance: loops go on with probability ``again``, branches have two to five paths."""
+    out, i = Run(), 0
+    while i < len(items) and out.status == "go":
+        x, i = items[i], i + 1
+        if isinstance(x, Act):
+            step = Run(((x.name, frozenset({-1})),), frozenset({0}))
+            if x.branch and i < len(items):
+                begin = i
+                while i + 1 < len(items) and isinstance(items[i], Act) and items[i].branch:
+                    i += 1
+                i += 1
+                step = step.then(_beside(tuple(random_run(items[begin:i], rnd, again) for _ in range(rnd.randrange(2, 6)))))
+        elif isinstance(x, Stop):
+            step = Run(status=x.how)
+        elif isinstance(x, Loop):
+            step = random_run(x.body, rnd, again)
+            while step.status == "go" and rnd.random() < again:
+                step = step.then(random_run(x.body, rnd, again))
+            step = Run(step.events, step.outs, "go" if step.status == BREAK else step.status)
+        elif x.kind == XOR:
+            step = random_run(rnd.choice(x.paths), rnd, again)
+        else:
+            paths = x.paths if x.kind == AND else rnd.sample(x.paths, rnd.randrange(1, len(x.paths) + 1))
+            step = _beside(tuple(random_run(p, rnd, again) for p in paths))
+        out = out.then(step)
+    return out
+
+
+def events_of(items: list, job_name: str = "job", application: str = "app", start: str = "2024-01-01T00:00:00.000000Z", more: int = 0, seed: int = 0) -> list[dict]:
+    """PV events of every run of a diagram, and of ``more`` runs by chance, each run a job of its own."""
+    out, rnd = [], random.Random(seed)
+    for j, run in enumerate([*runs(items), *(random_run(items, rnd) for _ in range(more))]):
         for i, (kind, before) in enumerate(run.events):
             out.append({"jobId": f"{job_name}-{j}", "eventId": f"{job_name}-{j}-{i}", "eventType": kind, "timestamp": start, "applicationName": application, "jobName": job_name, "previousEventIds": [f"{job_name}-{j}-{b}" for b in sorted(before) if b >= 0]})
     return out

@@ -172,3 +172,22 @@ def infer(sets: Iterable[Multiset]) -> Gate | None:
     if any(n > 1 for s in seen for _, n in s):
         return Gate(BRANCH, [_flat(_under_branch(g, seen), XOR)])
     return g
+
+
+def with_copies(g: Gate, sets: Iterable[Multiset]) -> Gate:
+    """Types that always come the same number of times, more than once, as so many leaves under an AND."""
+    counts: dict[str, set[int]] = {}
+    for s in sets:
+        for t, n in s:
+            counts.setdefault(t, set()).add(n)
+
+    def visit(x: Gate) -> Gate:
+        if x.kind == LEAF:
+            n = next(iter(counts[x.label])) if len(counts.get(x.label, ())) == 1 else 1
+            return Gate(AND, [leaf(x.label) for _ in range(n)]) if n > 1 else x
+        return Gate(x.kind, [visit(c) for c in x.children], x.label)
+
+    out = visit(g)
+    # a branch of which nothing is left to count is no branch
+    fixed = g.kind == BRANCH and all(len(counts.get(t, {1})) == 1 for t in g.leaves())
+    return _flat(out.children[0], AND) if fixed else out

@@ -24,9 +24,9 @@ def fresh_ids(events: list[dict]) -> Iterator[dict]:
         yield e | {"jobId": new(jobs, job), "eventId": new(ids, (job, e["eventId"])), "previousEventIds": [new(ids, (job, p)) for p in e["previousEventIds"]]}
 
 
-def simulate(spark: SparkSession, text: str, job_name: str = "job", copies: int = 1) -> DataFrame:
-    """PV events of every run of a diagram, ``copies`` times under ids of their own."""
-    events = events_of(parse(text), job_name)
+def simulate(spark: SparkSession, text: str, job_name: str = "job", copies: int = 1, more: int = 0, seed: int = 0) -> DataFrame:
+    """PV events of every run of a diagram and of ``more`` runs by chance, ``copies`` times under ids of their own."""
+    events = events_of(parse(text), job_name, more=more, seed=seed)
     rows = [tuple(e[k] for k in ("jobId", "eventId", "eventType", "timestamp", "applicationName", "jobName", "previousEventIds")) for _ in range(copies) for e in fresh_ids(events)]
     return spark.createDataFrame(rows, PV)
 

@@ -86,6 +86,13 @@ def contains_set(rows: DataFrame, wanted: dict[str, int]) -> DataFrame:
     return rows.groupBy("job_name", "event_type", "direction").agg(F.bool_or(inside).alias("found"))
 
 
+def counts_of(rows: DataFrame, types: set[str]) -> DataFrame:
+    """Sets that meet the given types: what they share with them and how often (``shared``), and what they hold several times."""
+    shared = F.filter("event_set", lambda x: x["eventType"].isin(sorted(types)))
+    repeated = F.transform(F.filter("event_set", lambda x: x["count"] > 1), lambda x: x["eventType"])
+    return rows.withColumns({"shared": shared, "repeated": repeated}).where(F.size("shared") > 0)
+
+
 def without_type(rows: DataFrame, kind: str) -> DataFrame:
     """Rows whose set does not hold the type."""
     return rows.where(~F.exists("event_set", lambda x: x["eventType"] == kind))

@@ -69,6 +69,12 @@ def eventset_drop_type(spark: SparkSession, base: str) -> DataFrame:
     return es.without_type(_model(spark, base), "persist").select("job_name", "event_type", "direction", _text().alias("event_set"))
 
 
+def eventset_shared(spark: SparkSession, base: str) -> DataFrame:
+    """Sets that meet two types: what they share with them, and what they hold several times."""
+    rows = es.counts_of(_model(spark, base), {"persist", "notify"})
+    return rows.select("job_name", "event_type", "direction", _text().alias("event_set"), _text("shared").alias("shared"), F.array_join("repeated", ",").alias("repeated"))
+
+
 def _edges(spark: SparkSession, base: str) -> DataFrame:
     return cut(es.edges(_model(spark, base)))
 
@@ -123,7 +129,7 @@ def puml(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    eventset_out, eventset_in, model_rows, model_merge, eventset_reduced, eventset_counts, eventset_subset, eventset_drop_type, markov_edges, overlap_components, dummy_start_edges, splice_dummy, reachability, scc_nodes, loop_start_nodes, loop_edges, model_documents, gates, puml,
+    eventset_out, eventset_in, model_rows, model_merge, eventset_reduced, eventset_counts, eventset_subset, eventset_shared, eventset_drop_type, markov_edges, overlap_components, dummy_start_edges, splice_dummy, reachability, scc_nodes, loop_start_nodes, loop_edges, model_documents, gates, puml,
 )}
 
 SEQS = f"""
@@ -151,6 +157,8 @@ ORACLES = {
     "eventset_reduced": _W + " select distinct job_name, event_type, direction, array_to_string(list_transform(s, lambda x: x.t), ',') as support from model where len(s) > 0",
     "eventset_counts": _W + ", f as (select distinct job_name, event_type, direction, unnest(s) as x from model) select job_name, event_type, direction, x.t as neighbour, string_agg(x.n::varchar, ',' order by x.n) as counts from f group by 1, 2, 3, 4",
     "eventset_subset": _W + " select job_name, event_type, direction, bool_or(len(list_filter(s, lambda x: x.t = 'persist' and x.n = 1)) > 0) as found from model group by 1, 2, 3",
+    "eventset_shared": _W + """ select job_name, event_type, direction, event_set, array_to_string(list_transform(list_filter(s, lambda x: x.t in ('persist', 'notify')), lambda x: x.t || '*' || x.n), ',') as shared,
+  array_to_string(list_transform(list_filter(s, lambda x: x.n > 1), lambda x: x.t), ',') as repeated from model where len(list_filter(s, lambda x: x.t in ('persist', 'notify'))) > 0""",
     "eventset_drop_type": _W + " select job_name, event_type, direction, event_set from model where len(list_filter(s, lambda x: x.t = 'persist')) = 0",
     "markov_edges": _W + " select * from edges",
     "overlap_components": f"""with recursive {SEQS}, m as (select job_name, event_type, s from model where direction = 'out' and len(s) > 1),
