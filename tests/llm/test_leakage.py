@@ -71,7 +71,7 @@ def test_offsets_point_into_the_cell():
         body = rnd.choice([" ", " ", " ​ "]).join(w.upper() if rnd.random() < 0.2 else w for w in LONG.split())
         before = noise(rnd.randrange(20))
         text = f"{before} {body} {noise(rnd.randrange(20))}"
-        ((item, a, z, n),) = L.spans_in(machine, text)
+        ((item, a, z, n, _),) = L.spans_in(machine, text)
         assert (item, n) == (1, 14) and (text[a:z] == body or (a, z) == (0, len(text)))
     assert L.spans_in(machine, " ".join(LONG.split()[:11])) == []
 
@@ -80,9 +80,9 @@ def test_offsets_point_into_the_cell():
 def test_one_odd_character_does_not_cost_the_offsets(odd):
     machine = L.Automaton([(1, LONG)])
     for text, body in ((f"{odd} x. {LONG}! {odd}", LONG), (f"{odd} {LONG.replace('seven', 'sev\u00aden')}, z", LONG.replace("seven", "sev\u00aden"))):
-        ((item, a, z, n),) = L.spans_in(machine, text)
+        ((item, a, z, n, _),) = L.spans_in(machine, text)
         assert (item, n, text[a:z]) == (1, 14, body)
-    ((_, a, z, _),) = L.spans_in(L.Automaton([(1, f"{odd} end {odd}")]), f"so {odd} end {odd}.")
+    ((_, a, z, _, _),) = L.spans_in(L.Automaton([(1, f"{odd} end {odd}")]), f"so {odd} end {odd}.")
     assert (a, z) == (3, 8 + 2 * len(odd))
 
 
@@ -108,3 +108,11 @@ def test_cells_of_each_form():
     got = read_cells("# %%\nx\n# Out: a\n# b\n# Out: c\n\n# %% [markdown]\n# # T\n# \n# u", "percent")
     assert [(c.kind, c.source, c.outputs) for c in got] == [("code", "x", ["a\nb", "c\n"]), ("text", "# T\n\nu", [])]
     assert read_cells(" \n", "ipynb") == [] and read_cells("{}", "ipynb")[0].kind == "other"
+
+
+def test_answers_are_carried_beside_their_passage(spark):
+    items = spark.createDataFrame([(1, "x", LONG, "Forty Two"), (2, "x", LONG, None), (3, "x", LONG, "")], "item_id bigint, benchmark string, passage string, answer string")
+    near, far = f"[text]\n{LONG} Answer: forty-two!", f"[text]\n{LONG} " + "word " * 30 + "forty two"
+    docs = spark.createDataFrame([(1, near, "listing"), (2, far, "listing"), (3, f"[text]\n{LONG}", "listing")], "doc_id bigint, text string, nb_format string")
+    got = {(r.doc_id, r.item_id): r.with_answer for r in L.leak_spans(docs, items).collect()}
+    assert got == {(d, i): (d, i) == (1, 1) for d in (1, 2, 3) for i in (1, 2, 3)}

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from weftspan.llm.notebooks import read_cells
 
 WORDS = 12
+#: Words after a passage within which its answer is looked for.
+ANSWER_WITHIN = 12
 #: Characters of passages in one automaton.
 BLOCK_CHARS = 4_000_000
 _WORD, _ASCII = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
@@ -122,7 +124,8 @@ def _machine(items: list[tuple[int, str]], words: int) -> Automaton:
     """One per worker process and block of passages."""
     key = hash((tuple(items), words))
     if key not in _machines:
-        _machines.clear()
+        if len(_machines) > 3:
+            _machines.clear()
         _machines[key] = Automaton(items, words)
     return _machines[key]
 
@@ -149,8 +152,15 @@ def _leaks(items: list[tuple[int, str]], words: int):
     return run
 
 
-def spans_in(machine: Automaton, text: str) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words) of the merged runs of each item in a text; offsets are those of the text itself."""
+def _follows(answer: list[str] | None, words: list[str], at: int, within: int) -> bool:
+    """Whether the answer's words come, one after the other, within so many words from a place on."""
+    near = words[at : at + within + len(answer)] if answer else []
+    return any(near[i : i + len(answer)] == answer for i in range(len(near) - len(answer) + 1)) if answer else False
+
+
+def spans_in(machine: Automaton, text: str, answers: dict[int, list[str]] | None = None) -> list[tuple[int, int, int, int, bool]]:
+    """(item, start, end, words, whether its answer follows within ``ANSWER_WITHIN`` words) of the merged runs of each item in a
+    text; offsets are those of the text itself."""
     words = words_of(text)
     ends = []
     at = 0
@@ -171,41 +181,44 @@ def spans_in(machine: Automaton, text: str) -> list[tuple[int, int, int, int]]:
     if not runs:
         return []
     spans = word_spans(text)
-    return [(i, spans[a][0], spans[z][1], z - a + 1) for i, mine in sorted(runs.items()) for a, z in mine]
+    return [(i, spans[a][0], spans[z][1], z - a + 1, _follows((answers or {}).get(i), words, z + 1, ANSWER_WITHIN)) for i, mine in sorted(runs.items()) for a, z in mine]
 
 
-def _spans(items: list[tuple[int, str]], words: int):
+def _spans(items: list[tuple[int, str, str | None]], words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(items, words)
+        machine = _machine(sorted({(i, p) for i, p, _ in items}), words)
+        answers = {i: w for i, _, a in items if (w := words_of(a or ""))}
         for b in batches:
             rows = [
-                (doc.as_py(), i, c, o, a, z, n)
+                (doc.as_py(), i, c, o, a, z, n, answered)
                 for doc, text, form in zip(b.column(0), b.column(1), b.column(2))
                 for c, o, t in _parts(text.as_py(), form.as_py())
-                for i, a, z, n in spans_in(machine, t)
+                for i, a, z, n, answered in spans_in(machine, t, answers)
             ]
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "item_id", "cell_no", "output_no", "start", "stop", "n_words"])
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:7]), pa.array(cols[7], pa.bool_())], names=["doc_id", "item_id", "cell_no", "output_no", "start", "stop", "n_words", "with_answer"])
 
     return run
 
 
-def item_blocks(items: DataFrame, item: str = "item_id", passage: str = "passage", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The passages in blocks of at most ``block_chars`` characters, or of one passage; one block is on the driver at a time."""
+def item_blocks(items: DataFrame, item: str = "item_id", passage: str = "passage", block_chars: int = BLOCK_CHARS, answer: str | None = None) -> Iterator[list[tuple]]:
+    """The passages (with answers if wanted) in blocks of at most ``block_chars`` characters, or of one passage; one block is on the driver at a time."""
     block, size = [], 0
-    for r in items.where(F.col(passage).isNotNull()).select(F.col(item).cast("bigint"), F.col(passage).cast("string")).distinct().toLocalIterator():
+    order = lambda x: (x[0], x[1], *((x[2] or "",) if answer else ()))
+    kept = [F.col(item).cast("bigint"), F.col(passage).cast("string"), *([F.col(answer).cast("string")] if answer else [])]
+    for r in items.where(F.col(passage).isNotNull()).select(*kept).distinct().toLocalIterator():
         if block and size + len(r[1]) > block_chars:
-            yield sorted(block)
+            yield sorted(block, key=order)
             block, size = [], 0
-        block.append((r[0], r[1]))
+        block.append(tuple(r))
         size += len(r[1])
-    yield sorted(block)
+    yield sorted(block, key=order)
 
 
-def _over_blocks(docs: DataFrame, items: DataFrame, make, schema: str, words: int, block_chars: int) -> DataFrame:
+def _over_blocks(docs: DataFrame, items: DataFrame, make, schema: str, words: int, block_chars: int, answer: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("nb_format").cast("string").alias("nb_format"))
     out = None
-    for block in item_blocks(items, block_chars=block_chars):
+    for block in item_blocks(items, block_chars=block_chars, answer=answer):
         part = rows.mapInArrow(make(block, words), schema)
         out = part if out is None else out.unionAll(part)
     return out
@@ -217,6 +230,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, block_char
 
 
 def leak_spans(docs: DataFrame, items: DataFrame, words: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, cell_no, output_no, start, stop, n_words): where; output_no is -1 for the cell's source."""
-    schema = "doc_id bigint, item_id bigint, cell_no bigint, output_no bigint, start bigint, stop bigint, n_words bigint"
-    return _over_blocks(docs, items, _spans, schema, words, block_chars)
+    """(doc_id, item_id, cell_no, output_no, start, stop, n_words, with_answer): where, and whether the answer follows there;
+    output_no is -1 for the cell's source."""
+    schema = "doc_id bigint, item_id bigint, cell_no bigint, output_no bigint, start bigint, stop bigint, n_words bigint, with_answer boolean"
+    held = items if "answer" in items.columns else items.withColumn("answer", F.lit(None).cast("string"))
+    return _over_blocks(docs, held, _spans, schema, words, block_chars, "answer")

@@ -125,7 +125,7 @@ class Quotes:
         """The text without what it quotes; nothing if the rest still paraphrases."""
         if not self._echo(text):
             return text
-        spans = sorted((a, z) for m in self.runs for _, a, z, _ in leakage.spans_in(m, text))
+        spans = sorted((a, z) for m in self.runs for _, a, z, *_ in leakage.spans_in(m, text))
         out, at = [], 0
         for a, z in spans:
             out.append(text[at : max(a, at)])
