@@ -104,7 +104,8 @@ def tree_fingerprints(spark: SparkSession, base: str) -> DataFrame:
 
 
 def unique_graphs(spark: SparkSession, base: str) -> DataFrame:
-    return fingerprint.unique_graphs(fingerprint.job_hashes(_clean(spark, base)))
+    """For each workflow and structure the least job and how many share it."""
+    return fingerprint.unique_graphs(fingerprint.job_hashes(_clean(spark, base))).select("job_name", "job_id", "n_jobs")
 
 
 def _order_spans(spark: SparkSession, base: str) -> DataFrame:
@@ -239,6 +240,16 @@ select reason, count(*) as n_records from r where reason <> 'without ' group by
     "job_batch": f"with {SPANS} select job_id, event_id, event_type, start_timestamp from spans where job_id in (select job_id from job_hashes)",
     "child_lists": f"with {SPANS} select job_id, parent_event_id as event_id, count(*) as n_children, string_agg(event_id, ',' order by event_id) as children from spans where parent_event_id is not null group by 1, 2",
     "filtered_stream": f"with {NAMED} select job_name, job_id, event_id, event_type from named where job_name in ('ledger_close', 'parcel_intake', 'seat_booking') and exists (select 1 from job_hashes h where h.job_name = named.job_name and h.job_id = named.job_id)",
+    "unique_graphs": f"""with recursive {NAMED},
+nodes_at as (select job_id, event_id, parent_event_id, event_type, 0 as depth from named s where parent_event_id is null or not exists (select 1 from named p where p.job_id = s.job_id and p.event_id = s.parent_event_id)
+  union all select c.job_id, c.event_id, c.parent_event_id, c.event_type, depth + 1 from nodes_at n join named c on c.job_id = n.job_id and c.parent_event_id = n.event_id),
+up as (select job_id, event_id, parent_event_id, depth, md5(event_type) as shape from nodes_at where depth = (select max(depth) from nodes_at)
+  union all select n.job_id, n.event_id, n.parent_event_id, n.depth, md5(n.event_type || coalesce(k.kids, ''))
+  from (select distinct depth - 1 as depth from up where depth > 0) l join nodes_at n on n.depth = l.depth
+  left join (select job_id, parent_event_id, string_agg(shape, '' order by shape) as kids from up group by 1, 2) k on k.job_id = n.job_id and k.parent_event_id = n.event_id),
+jobs as (select job_id, string_agg(shape, '' order by shape) as shape from up where depth = 0 group by 1),
+names as (select job_id, min(job_name) as job_name from named group by 1)
+select job_name, min(job_id) as job_id, count(*) as n_jobs from jobs join names using (job_id) group by job_name, shape""",
     "tree_shapes": """with l as (select l_orderkey, l_linenumber, min(l_returnflag || l_linestatus) as kind, count(*) as n from lineitem group by 1, 2),
 m as (select l_orderkey, string_agg(shape, ';' order by shape) as shape from (select l_orderkey, kind || case when n > 1 then '(n' || n || ')' else '' end as shape from l) group by 1),
 t as (select o_orderpriority as job_name, 'o' || o_orderkey as job_id, o_orderstatus || '(' || coalesce(shape, '') || ')' as shape from orders left join m on l_orderkey = o_orderkey)

@@ -22,7 +22,7 @@ _STATE = "first array<string>, last timestamp, opened bigint, parts int"
 
 
 def dedupe_stream(nodes: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Valid spans, each event once: the first to arrive; state is dropped behind the watermark of ``ingested_at``."""
+    """Valid spans, each event once: the first that the stream hands over; state is dropped behind the watermark of ``ingested_at``."""
     rows = valid_records(nodes.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
     return rows.withWatermark("ingested_at", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
