@@ -251,22 +251,29 @@ def _bags(batch: pa.RecordBatch) -> Bags:
     return Bags(np.repeat(np.arange(len(lengths)), lengths), lists.flatten().to_numpy(), n, begins, filled, len(lengths))
 
 
-def infer(bags: Bags, weights: np.ndarray, inner: int = INNER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+def infer(bags: Bags, weights: np.ndarray, inner: int = INNER, alpha: float = ALPHA, group: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Topic proportions (in the exponent) of each notebook, and each entry's shares among topics.
 
-    ``weights``: (terms, topics), the exponent of the expected log probabilities.
+    ``weights``: (terms, topics), the exponent of the expected log probabilities. Notebooks of like length are taken
+    ``group`` at a time, padded to one length, so that each step is two products of matrices.
     """
     k = weights.shape[1]
-    theta = np.full((bags.size, k), 1 / k, np.float32)
-    by_term = weights[bags.term]
-    share = np.empty((0, k), np.float32)
-    for _ in range(inner):
-        share = by_term * theta[bags.rows]
-        share /= share.sum(axis=1, keepdims=True) + 1e-30
-        gamma = np.full((bags.size, k), alpha, np.float32)
-        if bags.begins.size:
-            gamma[bags.filled] += np.add.reduceat(share * bags.n[:, None], bags.begins, axis=0)
-        theta = np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+    expected = lambda gamma: np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+    theta = np.repeat(expected(np.full((1, k), alpha, np.float32)), bags.size, axis=0)
+    lengths = np.append(bags.begins[1:], bags.term.size) - bags.begins if bags.begins.size else bags.begins
+    order = np.argsort(lengths, kind="stable")
+    for i in range(0, order.size, group):
+        docs = order[i : i + group]
+        inside = np.arange(lengths[docs[-1]])[None, :] < lengths[docs][:, None]
+        at = np.where(inside, bags.begins[docs][:, None] + np.arange(inside.shape[1])[None, :], 0)
+        w, n = weights[bags.term[at]], np.where(inside, bags.n[at], 0).astype(np.float32)
+        mine = np.full((docs.size, k), 1 / k, np.float32)
+        for _ in range(inner):
+            norm = np.matmul(w, mine[:, :, None])[:, :, 0] + 1e-30
+            mine = expected(alpha + mine * np.matmul((n / norm)[:, None, :], w)[:, 0, :])
+        theta[bags.filled[docs]] = mine
+    share = weights[bags.term] * theta[bags.rows]
+    share /= share.sum(axis=1, keepdims=True) + 1e-30
     return theta, share
 
 
