@@ -77,28 +77,30 @@ LEAST_REST = 6
 _TERM, _CAMEL = re.compile(r"\w+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-_split: dict[str, tuple[str, ...]] = {}
+class _Split(dict):
+    """The terms of each token seen so far."""
 
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[token] = self.of(token)
+        return out
 
-def _terms(token: str) -> tuple[str, ...]:
-    if token[0].isdigit():
-        return ()
-    if "_" in token or token.islower():
-        return (token.lower(),) if len(token) > 1 else ()
-    return tuple(p.lower() for p in _CAMEL.split(token) if len(p) > 1)
+    @staticmethod
+    def of(token: str) -> tuple[str, ...]:
+        if token[0].isdigit():
+            return ()
+        if "_" in token or token.islower():
+            return (token.lower(),) if len(token) > 1 else ()
+        return tuple(p.lower() for p in _CAMEL.split(token) if len(p) > 1)
+
+
+_split = _Split()
 
 
 def terms_of(text: str) -> list[str]:
     """Words of two letters or more, and joined identifiers as a whole."""
-    out: list[str] = []
-    for t in _TERM.findall(text):
-        got = _split.get(t)
-        if got is None:
-            if len(_split) > 200_000:
-                _split.clear()
-            got = _split[t] = _terms(t)
-        out += got
-    return out
+    return [w for t in _TERM.findall(text) for w in _split[t]]
 
 
 def known_terms(words: list[str], terms: dict[str, int]) -> Iterator[int]:
@@ -157,7 +159,10 @@ def cell_terms(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 cells = [[terms_of(quotes.without(c.source)) for c in read_cells(t.as_py(), f.as_py())] for t, f in zip(part.column(1), part.column(2))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.list_(pa.list_(pa.string())))], names=["doc_id", "cells"])
+                flat = [c for doc in cells for c in doc]
+                offsets = lambda lists: pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets(flat), pa.array([w for c in flat for w in c], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets(cells), lists)], names=["doc_id", "cells"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("nb_format").cast("string").alias("nb_format"))
     return rows.mapInArrow(run, "doc_id bigint, cells array<array<string>>")
@@ -415,7 +420,8 @@ def _add(total: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     """total[at] += values, with repeats."""
     if not at.size:
         return
-    order = np.argsort(at, kind="stable")
+    # small codes are sorted by their digits
+    order = np.argsort(at.astype(np.uint16) if len(total) <= 1 << 16 else at, kind="stable")
     at = at[order]
     begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     total[at[begins]] += np.add.reduceat(values[order], begins, axis=0)
