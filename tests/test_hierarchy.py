@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftspan.operators import hierarchy
-from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies
+from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies, intervals
 
 SCHEMA = "job string, k string, p string, loc bigint"
 
@@ -97,6 +97,17 @@ def test_descendants(spark):
     assert got == {("j", "a", "b", 1), ("j", "a", "c", 2), ("j", "b", "c", 1)}
 
 
+def test_intervals_hold_the_descendants(spark):
+    solved = hierarchies(spark.createDataFrame(forest(3), SCHEMA), with_path=True)
+    want: dict = {}
+    for r in descendants(solved).collect():
+        want.setdefault((r.job, r.k), set()).add(r.descendant)
+    rows = intervals(solved).collect()
+    by = {(r.job, r.order_no): r.k for r in rows}
+    assert len(by) == len(rows) == sum(v[2] == "tree" for v in brute(forest(3)).values())
+    assert all({by[r.job, i] for i in range(r.order_no + 1, r.last_no + 1)} == want.get((r.job, r.k), set()) for r in rows)
+
+
 def test_first_arrivals_and_empty(spark):
     df = spark.createDataFrame([("a", 5, 1, "late"), ("a", None, 0, "untimed"), ("a", 3, 9, "tie"), ("a", 3, 2, "first"), (None, 1, 1, "none"), ("b" * 50_000, None, 1, "long")], "e string, t bigint, id bigint, x string")
     got = {(r.k[:1], r.x) for r in first_arrivals(df, F.col("e"), F.col("t"), "id", {"x": F.col("x")}).collect()}

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspan.operators.heavy_keys import row_numbers
 from weftspan.runtime import BROADCAST_ROWS, cut, join_small, join_spread
 
 PIECE_ROWS = 50_000
@@ -365,7 +366,28 @@ def hierarchies(links: DataFrame, *, with_path: bool = False, ready: bool = Fals
     return out.select(job.alias("job"), "k", "p", F.coalesce("root", "cycle_top").alias("top"), F.col("dist").alias("depth"), F.when(F.col("state") == "top", "tree").otherwise(F.col("state")).alias("state"), "path")
 
 
+def below_counts(solved: DataFrame) -> DataFrame:
+    """(job, k, n_descendants) of the nodes of trees that have any. Ancestors are counted off the paths, combined before the shuffle."""
+    pairs = solved.where("state = 'tree'").select("job", F.posexplode("path").alias("at", "k"), "depth").where("at < depth")
+    return pairs.groupBy("job", "k").agg(F.count(F.lit(1)).alias("n_descendants"))
+
+
+def intervals(solved: DataFrame) -> DataFrame:
+    """(job, k, order_no, last_no) of the nodes of trees: numbers in depth-first order within the job, by paths.
+
+    The descendants of a node are those of its job with numbers above ``order_no`` up to ``last_no``.
+    """
+    trees = row_numbers(solved.where("state = 'tree'").select("job", "k", "path"), ["job"], ["path"], "order_no").drop("path")
+    node = F.to_json(F.array("job", "k"))
+    counts = below_counts(solved).select(node.alias("_node"), "n_descendants")
+    out = trees.withColumn("_node", node).join(counts, "_node", "left")
+    return out.select("job", "k", "order_no", (F.col("order_no") + F.coalesce("n_descendants", F.lit(0))).alias("last_no"))
+
+
 def descendants(solved: DataFrame) -> DataFrame:
-    """(job, k, descendant, distance): each node of a tree with all below it, from the paths of :func:`hierarchies`."""
+    """(job, k, descendant, distance): each node of a tree with all below it, from the paths of :func:`hierarchies`.
+
+    As many rows as the depths add up to: for a selection of nodes. Of all nodes :func:`intervals` says the same in one row each.
+    """
     rows = solved.where("state = 'tree'").select("job", F.col("k").alias("descendant"), "depth", F.posexplode("path").alias("at", "k"))
     return rows.where("at < depth").select("job", "k", "descendant", (F.col("depth") - F.col("at")).alias("distance"))

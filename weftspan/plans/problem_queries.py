@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.operators.heavy_keys import heavy_keys, key_stats
-from weftspan.operators.hierarchy import descendants, first_arrivals, hierarchies
+from weftspan.operators.hierarchy import below_counts, first_arrivals, hierarchies, intervals
 from weftspan.operators.nested import flat_tables, load_mappings, map_records, value_text
 from weftspan.operators.references import clean_key, find_orphans
 from weftspan.operators.timestamps import abbreviations, normalise_timestamps, unix_instant_us
@@ -99,16 +99,14 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_hierarchy(spark: SparkSession, base: str) -> DataFrame:
     """Every span with top, depth, path (joined by ``/``) and the number of spans below it."""
     out = cut(hierarchies(_p4_links(spark, base), with_path=True))
-    below = descendants(out).groupBy("job", "k").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return out.join(below, ["job", "k"], "left").select(
+    return out.join(below_counts(out).drop("job"), "k", "left").select(
         F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("top").alias("top_event_id"), "depth", "state", F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
     )
 
 
 def p4_descendants(spark: SparkSession, base: str) -> DataFrame:
-    """Each span with every span below it."""
-    out = descendants(hierarchies(_p4_links(spark, base), with_path=True))
-    return out.select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), F.col("descendant").alias("descendant_event_id"), "distance")
+    """The spans below each span: those of its job with numbers above ``order_no`` up to ``last_no``."""
+    return intervals(cut(hierarchies(_p4_links(spark, base), with_path=True))).select(F.col("job").alias("job_id"), F.col("k").alias("event_id"), "order_no", "last_no")
 
 
 SPANS = "resource_spans.scope_spans.spans"
@@ -244,7 +242,8 @@ ORACLES = {
     "p4_found": _P4 + "select job_id, event_id, top_event_id, case when state <> 'tree' then state else 'deep' end as finding from tree where state <> 'tree' or depth >= 25",
     "p4_hierarchy": _P4 + """select t.job_id, t.event_id, top_event_id, depth, state, path, coalesce(n, 0) as n_descendants
   from tree t left join (select job_id, event_id, count(*) as n from pairs group by 1, 2) b on b.job_id = t.job_id and b.event_id = t.event_id""",
-    "p4_descendants": _P4 + "select * from pairs",
+    "p4_descendants": _P4 + """, numbered as (select job_id, event_id, row_number() over (partition by job_id order by list_reverse(seen)) - 1 as order_no from tree where state = 'tree')
+select n.job_id, n.event_id, order_no, order_no + coalesce(m, 0) as last_no from numbered n left join (select job_id, event_id, count(*) as m from pairs group by 1, 2) b on b.job_id = n.job_id and b.event_id = n.event_id""",
     "p1_node_units": f"""
 with u as (select *, {_P1_UNIT} as unit from nodes where start_timestamp is not null and start_timestamp not in (0, 9223372036854775807)),
 v as (select unit, case unit when 'unix_s' then start_timestamp * 1000000 when 'unix_ms' then start_timestamp * 1000 when 'unix_us' then start_timestamp else start_timestamp // 1000 end as us from u)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only after it was measured and found to have at most so many rows, and bytes as JSON text.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 _folders: set[str] = set()
+_written: list[str] = []
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -59,9 +62,22 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd", partitionBy=by)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that :func:`cut` wrote within, once the results that read them have been written or counted."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[before:]:
+            _remove(spark, path)
+        del _written[before:]
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, salt: int = 16) -> DataFrame:
     """Join ``big`` with a table expected to be small.
 
