@@ -9,7 +9,7 @@ from paths import SMALL
 
 import __spark_entry__ as entries
 
-TABLES = "nodes pv_events node_deletions job_hashes applications otel_records field_mappings orders lineitem events".split()
+TABLES = "nodes pv_events node_deletions job_hashes applications otel_records field_mappings orders lineitem events documents".split()
 
 
 def test_names_agree():
