@@ -90,3 +90,5 @@ def p8_label_agreement(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_spans": p7_spans, "p7_report": p7_report, "p8_found": p8_found, "p8_cells": p8_cells, "p8_topics": p8_topics, "p8_composition": p8_composition, "p8_label_agreement": p8_label_agreement}
+
+ORACLES = {"p6_round_trip": "select doc_id, true as same from documents"}
