@@ -36,9 +36,10 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
-    """Per table and application: how its times are written, and how many could not be settled."""
+    """Per table and application: how its times are written, and how many could not be settled. An order that is not settled has no name."""
+    unsettled = (F.col("ts_status") == "ambiguous") & F.col("ts_layout").isin("dmy", "mdy")
     parts = [
-        x.select(F.lit(name).alias("record_table"), "application_name", F.coalesce("ts_layout", F.lit("-")).alias("layout"), F.col("ts_status").alias("status"))
+        x.select(F.lit(name).alias("record_table"), "application_name", F.when(unsettled, "slash").otherwise(F.coalesce("ts_layout", F.lit("-"))).alias("layout"), F.col("ts_status").alias("status"))
         for name, x in (("pv_events", _p1_events(spark, base)), ("nodes", _p1_nodes(spark, base)))
     ]
     return parts[0].unionAll(parts[1]).groupBy("record_table", "application_name", "layout", "status").agg(F.count(F.lit(1)).alias("n_records"))
@@ -198,47 +199,61 @@ _CLOCK = r"(\d{2}):(\d{2})(?::(\d{2}))?(?:[.,](\d+))?"
 _HALVED = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d+))?(?: ?([AaPp])\.?[Mm]\.?)?"
 
 
-def _p1_layout(pattern: str, groups: str, day: str) -> str:
+def _p1_layout(kind: str, pattern: str, groups: str, day: str, other: str = "null::date") -> str:
     names = ", ".join(f"'{g}'" for g in groups.split())
     half = "r.half" if " half " in groups else "''"
-    return f"""select pv_id, z, {day} as day, lower({half}) as half, try_cast(r.h as int) as h, try_cast(r.mi as int) as mi, case when r.se = '' then 0 else try_cast(r.se as int) end as se, r.fr as fr, r.o1 as off, r.reg as reg, upper(r.ab) as ab
+    return f"""select pv_id, app, z, o, '{kind}' as kind, {day} as day, {other} as other, lower({half}) as half, try_cast(r.h as int) as h, try_cast(r.mi as int) as mi, case when r.se = '' then 0 else try_cast(r.se as int) end as se, r.fr as fr, r.o1 as off, r.reg as reg, upper(r.ab) as ab
   from (select *, regexp_extract(s, '{pattern}', [{names}]) as r from t where regexp_matches(s, '{pattern}'))"""
 
 
-def _p1_sql() -> str:
+def _p1_ctes() -> str:
     """Times read by one pattern each, in the registered zone and order, without any weighing of readings."""
     meanings = ", ".join(f"('{z}', '{a}', {o})" for z in sorted(available_timezones()) for a, o in abbreviations(z, (1, 4, 7, 10)).items())
     months = "list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(r.b))"
     date = lambda y, m, d: f"try_cast({y} || '-' || {m} || '-' || {d} as date)"
     kinds = [
-        _p1_layout(r"^(\d{4})-(\d{2})-(\d{2})[Tt ]" + _CLOCK + _TAIL, "y b c h mi se fr o1 reg ab", date("r.y", "r.b", "r.c")),
-        _p1_layout(r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?" + _TAIL, "y b c h mi se fr o1 reg ab", date("r.y", "r.b", "r.c")),
-        _p1_layout(r"^(\d{4})-?(\d{3})[Tt ]" + _CLOCK + _TAIL, "y c h mi se fr o1 reg ab", "case when year(try_cast(r.y || '-01-01' as date) + (try_cast(r.c as int) - 1)) = try_cast(r.y as int) then try_cast(r.y || '-01-01' as date) + (try_cast(r.c as int) - 1) end"),
-        _p1_layout(r"^(\d{1,2})/(\d{1,2})/(\d{4}),? " + _HALVED + _TAIL, "a b y h mi se fr half o1 reg ab", f"case o when 'DMY' then {date('r.y', 'r.b', 'r.a')} when 'MDY' then {date('r.y', 'r.a', 'r.b')} end"),
-        _p1_layout(r"^(?:[A-Za-z]{3,9},? )?(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4}) " + _HALVED + _TAIL, "a b y h mi se fr half o1 reg ab", date("r.y", months, "r.a")),
+        _p1_layout("iso", r"^(\d{4})-(\d{2})-(\d{2})[Tt ]" + _CLOCK + _TAIL, "y b c h mi se fr o1 reg ab", date("r.y", "r.b", "r.c")),
+        _p1_layout("compact", r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?" + _TAIL, "y b c h mi se fr o1 reg ab", date("r.y", "r.b", "r.c")),
+        _p1_layout("ordinal", r"^(\d{4})-?(\d{3})[Tt ]" + _CLOCK + _TAIL, "y c h mi se fr o1 reg ab", "case when year(try_cast(r.y || '-01-01' as date) + (try_cast(r.c as int) - 1)) = try_cast(r.y as int) then try_cast(r.y || '-01-01' as date) + (try_cast(r.c as int) - 1) end"),
+        _p1_layout("slash", r"^(\d{1,2})/(\d{1,2})/(\d{4}),? " + _HALVED + _TAIL, "a b y h mi se fr half o1 reg ab", f"case o when 'DMY' then {date('r.y', 'r.b', 'r.a')} when 'MDY' then {date('r.y', 'r.a', 'r.b')} end", f"coalesce(case when o is distinct from 'DMY' then {date('r.y', 'r.b', 'r.a')} end, case when o is distinct from 'MDY' then {date('r.y', 'r.a', 'r.b')} end)"),
+        _p1_layout("textual", r"^(?:[A-Za-z]{3,9},? )?(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4}) " + _HALVED + _TAIL, "a b y h mi se fr half o1 reg ab", date("r.y", months, "r.a")),
     ]
     return f"""
-with t as (select pv_id, trim(pv_timestamp, ' \t\n\r') as s, home_zone as z, upper(trim(date_order)) as o from pv_events left join applications using (application_name)
-  where pv_timestamp is not null and not regexp_full_match(pv_timestamp, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{6}}Z')),
+with t as (select pv_id, application_name as app, pv_timestamp, trim(pv_timestamp, ' \t\n\r') as s, home_zone as z, upper(trim(date_order)) as o from pv_events left join applications using (application_name)),
 parts as ({" union all ".join(kinds)}),
 clocks as (select *, case when half = '' then h when h between 1 and 12 then h % 12 + case half when 'p' then 12 else 0 end end as h24 from parts),
-walls as (select *, epoch_us(day::timestamp) + (h24::bigint * 3600 + mi * 60 + se) * 1000000 + coalesce(try_cast(rpad(left(fr, 6), 6, '0') as bigint), 0) as wall from clocks where h24 between 0 and 23 and mi between 0 and 59 and se between 0 and 59),
+walls as (select *, epoch_us(coalesce(day, other)::timestamp) as any_day, epoch_us(day::timestamp) + (h24::bigint * 3600 + mi * 60 + se) * 1000000 + coalesce(try_cast(rpad(left(fr, 6), 6, '0') as bigint), 0) as wall from clocks where h24 between 0 and 23 and mi between 0 and 59 and se between 0 and 59),
 meaning(zone, abbr, seconds) as (values {meanings}),
-placed as (select pv_id, wall, replace(off, ':', '') as off, seconds, case when off = '' and ab = '' and (reg = '' or trim(reg, '[]') = z) then z end as zone, ab from walls left join meaning on zone = z and abbr = ab),
-read as (select pv_id, case when lower(off) = 'z' or ab in ('GMT', 'UTC', 'UT') then wall
+placed as (select pv_id, app, kind, o, any_day, off as off0, reg, wall, replace(off, ':', '') as off, seconds, case when off = '' and ab = '' and (reg = '' or trim(reg, '[]') = z) then z end as zone, ab from walls left join meaning on zone = z and abbr = ab),
+read as (select pv_id, app, kind, o, any_day, wall, zone, off0 = '' and ab = '' and reg = '' as bare, (off0 <> '' and (lower(off) = 'z' or length(off) >= 3)) or ab in ('GMT', 'UTC', 'UT') or (ab <> '' and off0 = '' and seconds is not null) as timed, case when lower(off) = 'z' or ab in ('GMT', 'UTC', 'UT') then wall
     when off <> '' then wall - case when left(off, 1) = '-' then -1 else 1 end * (substr(off, 2, 2)::bigint * 60 + coalesce(try_cast(substr(off, 4, 2) as int), 0)) * 60000000
     when ab <> '' then wall - seconds::bigint * 1000000
     when zone is not null then case when timezone(zone, timezone(zone, make_timestamp(wall - 10800000000)) + interval 3 hour) = make_timestamp(wall)
       then least(epoch_us(timezone(zone, make_timestamp(wall - 10800000000))) + 10800000000, epoch_us(timezone(zone, make_timestamp(wall)))) else epoch_us(timezone(zone, make_timestamp(wall))) end end as us from placed),
-numbers as (select pv_id, split_part(s, '.', 1)::bigint as v, rpad(left(split_part(s, '.', 2), 6), 6, '0')::bigint as rest from t where regexp_full_match(s, '\\d{{1,18}}(\\.\\d+)?') or try_cast(s as bigint) is not null),
-nodes_us as (select id, start_timestamp as v from nodes where start_timestamp is not null and start_timestamp not in (0, 9223372036854775807) and abs(start_timestamp) < 100000000000000000)
-select 'pv_events' as record_table, pv_id as record_id, us as instant_us from read where us is not null
+numbers as (select pv_id, app, split_part(s, '.', 1)::bigint as v, rpad(left(split_part(s, '.', 2), 6), 6, '0')::bigint as rest from t where regexp_full_match(s, '\\d{{1,18}}(\\.\\d+)?') or try_cast(s as bigint) is not null)"""
+
+
+_P1_NODES = "nodes_us as (select id, start_timestamp as v from nodes where start_timestamp is not null and start_timestamp not in (0, 9223372036854775807) and abs(start_timestamp) < 100000000000000000)"
+_UNIT_OF = """case when abs({0}) < 100000000000 then 'unix_s' when abs({0}) < 100000000000000 then 'unix_ms' when abs({0}) < 100000000000000000 then 'unix_us' else 'unix_ns' end"""
+_P1_CTES = _p1_ctes()
+_P1_FOUND = _P1_CTES + f""", {_P1_NODES},
+plain as (select pv_id from t where not regexp_full_match(pv_timestamp, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{6}}Z'))
+select 'pv_events' as record_table, pv_id as record_id, us as instant_us from read where us is not null and pv_id in (select pv_id from plain)
 union all select 'pv_events', pv_id, case when abs(v) < 100000000000 then v * 1000000 + rest when abs(v) < 100000000000000 then v * 1000 + rest // 1000 when abs(v) < 100000000000000000 then v else v // 1000 end from numbers
 union all select 'nodes', id, case when abs(v) < 100000000000 then v * 1000000 when abs(v) < 100000000000000 then v * 1000 else v end from nodes_us"""
+_P1_REPORT = _P1_CTES + f""",
+told as (select pv_id, app, kind, o, case when any_day is null or not (timed or bare or zone is not null) then '-' when kind <> 'slash' then kind when o is null then 'slash' when wall is null then case o when 'DMY' then 'mdy' else 'dmy' end else lower(o) end as layout,
+    case when any_day is null or wall is null and (kind <> 'slash' or o is not null) or not (timed or bare or zone is not null) then 'unreadable' when not timed and zone is null then 'ambiguous' when kind = 'slash' then case when o is null then 'ambiguous' else 'registry' end when timed then 'explicit' else 'registry' end as status from read),
+told_numbers as (select pv_id, app, {_UNIT_OF.format('v')} as layout, 'explicit' as status from numbers),
+every as (select 'pv_events' as record_table, t.app as application_name, coalesce(told.layout, n.layout, '-') as layout, coalesce(told.status, n.status, case when coalesce(t.s, '') = '' then 'missing' else 'unreadable' end) as status
+    from t left join told on told.pv_id = t.pv_id left join told_numbers n on n.pv_id = t.pv_id
+  union all select 'nodes', application_name, case when start_timestamp is null or start_timestamp in (0, 9223372036854775807) then '-' else {_UNIT_OF.format('start_timestamp')} end, case when start_timestamp is null or start_timestamp in (0, 9223372036854775807) then 'missing' else 'explicit' end from nodes)
+select record_table, application_name, layout, status, count(*) as n_records from every group by all"""
 
 
 ORACLES = {
-    "p1_found": _p1_sql(),
+    "p1_found": _P1_FOUND,
+    "p1_report": _P1_REPORT,
     "p4_found": _P4 + "select job_id, event_id, top_event_id, case when state <> 'tree' then state else 'deep' end as finding from tree where state <> 'tree' or depth >= 25",
     "p4_hierarchy": _P4 + """select t.job_id, t.event_id, top_event_id, depth, state, path, coalesce(n, 0) as n_descendants
   from tree t left join (select job_id, event_id, count(*) as n from pairs group by 1, 2) b on b.job_id = t.job_id and b.event_id = t.event_id""",
